@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataq.queries import data
+from strataq.queries import answers, data, retrieval, trees
 
-MODULES = [data]
-FLAGSHIP = "p1_found"
+MODULES = [data, retrieval, trees, answers]
+FLAGSHIP = "ctx_build"
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
