@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataq.llm.tokens import prefix_sums, source_key
+from strataq.llm.tokens import source_key
+from strataq.operators.prefix import prefix_sums
 
 #: Keys are whole numbers below KEYS; a range of keys is key * ranges / KEYS.
 KEYS = 1 << 52

@@ -10,7 +10,6 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataq.session import cut
@@ -61,18 +60,3 @@ def token_sizes(documents: DataFrame, spec: TokenizerSpec = TokenizerSpec()) ->
     sized = rows.mapInPandas(run, "doc_id bigint, source string, tokens bigint")
     one = sized.groupBy("doc_id").agg(F.max(F.struct("tokens", "source")).alias("_r")).select("doc_id", "_r.source", "_r.tokens")
     return cut(one)
-
-
-def prefix_sums(rows: DataFrame, keys: list[str], order: str, value: str, block: int = 1024) -> DataFrame:
-    """Append ``before``: the sum of ``value`` over smaller ``order`` (whole numbers, one row each) within ``keys``.
-
-    In two levels, so that no task gathers more than ``block`` rows of a key, or one row per block.
-    """
-    at = (F.col(order) / block).cast("long")
-    rows = rows.withColumn("_block", at)
-    sums = rows.groupBy(*keys, "_block").agg(F.sum(value).alias("_sum"))
-    over = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(*keys, "_block", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_base"))
-    inner = W.partitionBy(*keys, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("_inner", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    return rows.join(sums, [*keys, "_block"]).withColumn("before", F.col("_base") + F.col("_inner")).drop("_block", "_inner", "_base")
