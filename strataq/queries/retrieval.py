@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataq.functions.text import join_keywords, token_len, zscore
 from strataq.operators import retrieve as R
+from strataq.operators.pairs import all_pairs
 from strataq.session import table
 
 BUDGET, K = 4000, 50
@@ -98,7 +99,7 @@ def budget_prefix(spark, sf_dir):
 
 def _contexts(spark, sf_dir, placed):
     c = chunks(spark, sf_dir)
-    pairs = _scored(spark, sf_dir).select("question_id", "muni").distinct()
+    pairs = all_pairs(c.select("muni").distinct(), questions(spark, sf_dir))
     out = R.contexts(R.within_budget(placed, BUDGET), pairs, c)
     return out.select("question_id", "muni", "chunks", F.md5("context").alias("context_md5"))
 
