@@ -30,6 +30,7 @@ LABEL = re.compile(r"(?i)\b(?:answer|respuesta|r[ée]ponse|antwort|resposta|risp
 NOTHING = re.compile(r"(?i)^(?:null|none|nil|n/?a|empty|undefined|nan)?$")
 INTRO = re.compile(r"(?i)^\W*(?:the question is|i am asked|i was asked|question|prompt|q|la pregunta es|pregunta|la question est|die frage ist|frage)\s*:")
 MARKS = re.compile(r"[\s​﻿\"'`*_#>\-–—.,:;!?()\[\]{}<>|~=+/\\]+")
+SOLID = re.compile(r"[^\W_]")
 TOKENS = re.compile(r"\w+")
 QUESTION = re.compile(r"#+ ?Question:\s*\n?(.*?)(?=\n\s*\n?#+ ?\w+:|\Z)", re.S | re.I)
 VALUE = re.compile(
@@ -88,7 +89,7 @@ class Pair:
 
 def answer_of(content: str | None, arguments: str | None) -> tuple[str, bool, bool, bool]:
     """(text, don't know, broken JSON, structured). Text in the message comes first, then the arguments of the call."""
-    if content is not None and MARKS.sub("", content):
+    if content is not None and (SOLID.search(content) or MARKS.sub("", content)):
         return content, False, False, False
     raw = (arguments or "").strip()
     if not raw:
@@ -111,11 +112,16 @@ def answer_of(content: str | None, arguments: str | None) -> tuple[str, bool, bo
     return json.dumps(value), dont_know, False, True
 
 
-def ends_open(text: str) -> tuple[bool, bool, bool, bool, bool]:
+def labels_in(text: str) -> list[tuple[int, int]]:
+    """Where the labels of answers begin and end."""
+    return [m.span() for m in LABEL.finditer(text)] if ":" in text else []
+
+
+def ends_open(text: str, labels: list[tuple[int, int]] | None = None) -> tuple[bool, bool, bool, bool, bool]:
     """(open, ellipsis, dangling abbreviation, broken row, states a value) of the end of a text."""
     s = text.rstrip(" \t\r\n​﻿")
-    labels = list(LABEL.finditer(s))
-    value = s[labels[-1].end() :].strip() if labels else ""
+    labels = labels_in(text) if labels is None else labels
+    value = s[labels[-1][1] :].strip() if labels else ""
     stated = bool(VALUE.match(value))
     ellipsis = s.endswith(("...", "…"))
     dangling = bool(DANGLING.search(s))
@@ -146,19 +152,21 @@ FEATURES = ["blank", "dont_know", "broken_json", "open", "ellipsis", "dangling",
 def pair_features(p: Pair) -> tuple[list[float], list[str]]:
     """The pair's features, in the order of FEATURES, and the answer's words."""
     text, dont_know, broken, structured = answer_of(p.content, p.arguments)
-    bare = LABEL.sub(" ", text)
-    blank = bool(NOTHING.match(MARKS.sub("", bare))) and not dont_know
+    labels = labels_in(text)
+    bare = LABEL.sub(" ", text) if labels else text
+    blank = len(bare) < 200 and bool(NOTHING.match(MARKS.sub("", bare))) and not dont_know or not SOLID.search(bare) and not dont_know
     low = text.lower()
     words = TOKENS.findall(low)
     if blank or (structured and not broken and (not words or text[:1] in "[{")):
         return [float(blank), float(dont_know), 0, 0, 0, 0, 0, float(not blank), 0, 0, 0, 0, 0, 0, 1, 1, float(structured), 0, 0], words[:40]
     if broken:
         return [0, 0, 1, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0, 1, 1, 0], words
-    open_, ellipsis, dangling, row, stated = (False, False, False, False, True) if structured and len(words) < 4 else ends_open(text)
-    said = TOKENS.findall(INTRO.sub(" ", bare).lower())
+    open_, ellipsis, dangling, row, stated = (False, False, False, False, True) if structured and len(words) < 4 else ends_open(text, labels)
+    intro = INTRO.match(bare)
+    said = words if not intro and not labels else TOKENS.findall((bare[intro.end() :] if intro else bare).lower())
     n = max(1, len(said))
     question = set(TOKENS.findall(p.question.lower())) if p.question else set()
-    inside = sum(w in question for w in said) / n if question else 0.0
+    inside = sum(map(question.__contains__, said)) / n if question else 0.0
     # The whole prompt matters only to an answer that may repeat it.
     cover = novel = 0.0
     if not stated or inside > 0.6:
@@ -169,48 +177,47 @@ def pair_features(p: Pair) -> tuple[list[float], list[str]]:
         novel = sum(w not in bag for w in said) / n
     else:
         novel = 1.0
-    value = LABEL.split(text)[-1].strip() if LABEL.search(text) else ""
+    value = text[labels[-1][1] :].strip() if labels else ""
     adds = stated and not (TOKENS.findall(value.lower()) and set(TOKENS.findall(value.lower())) <= question and len(value) > 12)
     whole = len(said) >= 0.7 * len(TOKENS.findall(p.question)) if question else False
     echo = float(not adds and len(said) > 2 and ((inside >= 0.9 and whole) or (cover >= 0.85 and novel <= 0.05)))
-    prose = LABEL.split(text)[0] if LABEL.search(text) else text
-    spoken = TOKENS.findall(prose.lower())
+    prose = low[: labels[0][0]] if labels else low
+    spoken = TOKENS.findall(prose) if labels else words
     differs = foreign = same = 0.0
     few = 1.0
     if p.question and len(spoken) >= 3:
         asked, q1, q2 = language_of(p.question)
-        votes = language_votes(spoken, prose.lower())
+        votes = language_votes(spoken, prose)
         mine_, v1, _ = best(votes)
         if q1 > q2 and v1 >= 1.0:
             few = 0.0
             foreign = (v1 - votes[asked]) / (v1 + 1e-9)
             same = votes[asked] / (sum(votes) + 1e-9)
             differs = float(mine_ != asked and v1 - votes[asked] >= max(1.0, 0.25 * v1))
-    return [0, float(dont_know), 0, float(open_), float(ellipsis), float(dangling), float(row), float(stated), cover, inside, echo, differs, foreign, same, few, float(len(words) < 8), float(structured), novel, float(any(w in SPEAKER for w in words))], words
+    return [0, float(dont_know), 0, float(open_), float(ellipsis), float(dangling), float(row), float(stated), cover, inside, echo, differs, foreign, same, few, float(len(words) < 8), float(structured), novel, float(not SPEAKER.isdisjoint(words))], words
+
+
+class Buckets(dict):
+    """From a word, or a pair of words, to its bucket; remembered, as most texts share them."""
+
+    def __missing__(self, key: str | tuple[str, str]) -> int:
+        text = key if isinstance(key, str) else f"{key[0]} {key[1]}"
+        self[key] = k = xxhash.xxh32_intdigest(text.encode("utf-8", "replace")) >> (32 - BITS)
+        return k
 
 
 class Hashed:
-    """Words and pairs of words to buckets, remembered: most texts share them."""
+    """The buckets of a text's words and pairs of words."""
 
     def __init__(self) -> None:
-        self.words: dict[str, int] = {}
-        self.pairs: dict[tuple[str, str], int] = {}
+        self.words, self.pairs = Buckets(), Buckets()
 
     def __call__(self, words: list[str]) -> set[int]:
-        out = set()
         if len(self.words) + len(self.pairs) > 2_000_000:  # bounded memory, whatever the vocabulary
             self.words.clear()
             self.pairs.clear()
-        for w in words:
-            k = self.words.get(w)
-            if k is None:
-                k = self.words[w] = xxhash.xxh32_intdigest(w.encode("utf-8", "replace")) >> (32 - BITS)
-            out.add(k)
-        for w in zip(words, words[1:], strict=False):
-            k = self.pairs.get(w)
-            if k is None:
-                k = self.pairs[w] = xxhash.xxh32_intdigest(f"{w[0]} {w[1]}".encode("utf-8", "replace")) >> (32 - BITS)
-            out.add(k)
+        out = set(map(self.words.__getitem__, words))
+        out.update(map(self.pairs.__getitem__, zip(words, words[1:], strict=False)))
         return out
 
 
@@ -397,7 +404,13 @@ def paired(requests: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def question_of(prompt: str | None) -> str:
-    m = QUESTION.search(prompt or "")
+    """The text under the heading of the question; empty if there is none."""
+    prompt = prompt or ""
+    start = prompt.find("#Question:\n")
+    if start >= 0:
+        end = prompt.find("\n\n#", start)
+        return prompt[start + 11 : end if end >= 0 else len(prompt)].strip()
+    m = QUESTION.search(prompt) if "uestion" in prompt.lower() else None
     return m.group(1).strip() if m else ""
 
 
