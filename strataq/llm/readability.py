@@ -44,7 +44,9 @@ BULLET = re.compile(r"^\s*(?:[-*•–]|\(?(?:\d{1,3}|[a-zA-Z]|[ivxIVX]{1,5})[.)
 FURNITURE = re.compile(r"(?i)^\W*page \d+(?: of \d+)?\W*$")
 LEADERS = re.compile(r"\.{4,}|(?:\. ){4,}|_{4,}")
 HEADING = re.compile(r"(?i)^(?:(?:sec(?:tion|\.)?|§+|art(?:icle|\.)?|chapter|division|part|title)\s*[\dIVX]+[\d.\-]*[.,:]?|\d+(?:[.\-]\d+)+)\s*(?:part \d+:?)?\s*(?:[\w'-]+\s?){0,4}\.?$")
-ABBREVIATION = re.compile(r"(?i)\b(sec|art|ord|no|nos|e\.g|i\.e|sq|ft|in|st|ave|rd|dr|mr|mrs|ms|fig|ch|vol|etc|approx|inc|vs|para|cf|subd|dept|a\.m|p\.m)\.")
+# Abbreviations whose stop ends no sentence.
+ABBREVIATIONS = set("sec art ord no nos e.g i.e sq ft in st ave rd dr mr mrs ms fig ch vol etc approx inc vs para cf subd dept a.m p.m".split())
+SHORT_WORD = re.compile(r"\b([A-Za-z]\.[A-Za-z]|[A-Za-z]{1,6})\.")
 SENTENCE_END = re.compile(r"(?<=[.!?])[\"')”’\]]*\s+(?=[\"'(“‘\[]?[^\W_a-z])")
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 LETTER = re.compile(r"[^\W\d_]")
@@ -70,7 +72,6 @@ def syllables(word: str) -> int:
     return max(1, n)
 
 
-@lru_cache(maxsize=200_000)
 def votes(word: str) -> tuple[float, float]:
     """For English and for the other languages."""
     by = VOTES.get(word, {})
@@ -83,6 +84,21 @@ def votes(word: str) -> tuple[float, float]:
     return english, other
 
 
+class WordFacts(dict):
+    """word: (votes for English, votes for others, syllables, whether 3 or more, whether 1); remembered for most words."""
+
+    def __missing__(self, word: str) -> tuple[float, float, int, int, int]:
+        if len(self) > 500_000:  # bounded memory, whatever the vocabulary
+            self.clear()
+        low = word.lower()
+        n = syllables(low)
+        self[word] = facts = (*votes(low), n, int(n >= 3), int(n == 1))
+        return facts
+
+
+FACTS = WordFacts()
+
+
 def prose_lines(text: str) -> list[str]:
     """Paragraphs and list items, without what is no prose."""
     if "<" in text:
@@ -106,11 +122,11 @@ def prose_lines(text: str) -> list[str]:
             continue
         if FURNITURE.match(line):
             continue
-        item = BULLET.match(raw)
+        item = BULLET.match(raw) if not raw[0].isalpha() or raw[1:4].find(".") >= 0 or raw[1:5].find(")") >= 0 else None
         body = raw[item.end() :].strip() if item else line
-        cells = len(re.findall(r"[|\t;]|, ", line)) + 1
+        cells = line.count("|") + line.count("\t") + line.count(";") + line.count(", ") + 1
         tokens = body.split()
-        figures = sum(not LETTER.search(t) for t in tokens)
+        figures = sum(1 for t in tokens if not t[0].isalpha() and not LETTER.search(t))
         table = ("|" in line or "\t" in line) or (cells >= 4 and len(tokens) <= 2.6 * cells and line[-1] not in ".!?") or figures * 2 >= len(tokens)
         if table or LEADERS.search(line) or (len(tokens) == 1 and not open_line) or (len(line) < 80 and HEADING.match(line)):
             close()
@@ -125,8 +141,13 @@ def prose_lines(text: str) -> list[str]:
     return out
 
 
+def _without_stops(m: re.Match) -> str:
+    word = m.group(1)
+    return word.replace(".", "") + "․" if word.lower() in ABBREVIATIONS else m.group()
+
+
 def sentences(line: str) -> list[list[str]]:
-    safe = ABBREVIATION.sub(lambda m: m.group(1).replace(".", "") + "․", line)
+    safe = SHORT_WORD.sub(_without_stops, line) if "." in line else line
     return [w for s in SENTENCE_END.split(safe) if len(w := WORD.findall(s)) >= 3]
 
 
@@ -158,17 +179,12 @@ def english_runs(text: str | None) -> Iterator[list[Counts]]:
     size = 0
     for line in prose_lines(text or ""):
         for words in sentences(line):
-            low = [w.lower() for w in words]
-            english = other = 0.0
-            for w in low:
-                e, o = votes(w)
-                english += e
-                other += o
-            if english <= other or english < 0.08 * len(low):
+            n = len(words)
+            english, other, n_syllables, n_long, n_single = map(sum, zip(*map(FACTS.__getitem__, words), strict=True))
+            if english <= other or english < 0.08 * n:
                 continue
-            counts = [syllables(w) for w in low]
-            run.append((1, len(low), sum(counts), sum(c >= 3 for c in counts), sum(c == 1 for c in counts)))
-            size += len(low)
+            run.append((1, n, n_syllables, n_long, n_single))
+            size += n
         if size >= POOL:
             yield run
             run, size = [], 0
