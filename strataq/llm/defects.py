@@ -129,7 +129,7 @@ def ends_open(text: str, labels: list[tuple[int, int]] | None = None) -> tuple[b
         fields = sum(r.count(",") >= 2 for r in rows)
         if fields or len(rows) > 1 or re.match(r"^[A-Z][\w. -]{0,14},", value):
             whole = bool(ROW.match(rows[-1].strip()))
-            return not whole, ellipsis, dangling, not whole, whole or len(rows) > 1
+            return not whole, ellipsis, dangling, not whole, whole
     if ROW.match(value):
         return False, ellipsis, False, False, True
     if stated or VALUE.match(s):
@@ -194,7 +194,7 @@ def pair_features(p: Pair) -> tuple[list[float], list[str]]:
             foreign = (v1 - votes[asked]) / (v1 + 1e-9)
             same = votes[asked] / (sum(votes) + 1e-9)
             differs = float(mine_ != asked and v1 - votes[asked] >= max(1.0, 0.25 * v1))
-    return [0, float(dont_know), 0, float(open_), float(ellipsis), float(dangling), float(row), float(stated), cover, inside, echo, differs, foreign, same, few, float(len(words) < 8), float(structured), novel, float(not SPEAKER.isdisjoint(words))], words
+    return [0, float(dont_know), 0, float(open_ or ellipsis or dangling or row), float(ellipsis), float(dangling), float(row), float(stated), cover, inside, echo, differs, foreign, same, few, float(len(words) < 8), float(structured), novel, float(not SPEAKER.isdisjoint(words))], words
 
 
 class Buckets(dict):
@@ -306,6 +306,8 @@ def train(sample: list[Pair], seed: int = 42, rounds: int = 60) -> Model:
     sound, bad = [enc(p) for p in sample], [(enc(p), DEFECTS.index(y) if y else -1) for p, y in made]
     keep = np.array([not any(confirmed(k, d) for k in DEFECTS if k != "refusal") for d, _ in sound], dtype=bool)
     model = Model(np.zeros((1 << BITS, 5)), np.zeros((len(FEATURES) + 1, 5)), np.zeros(5))
+    if not sample:
+        return model  # it flags nothing
     for turn in range(2):
         xs = [x for x, k in zip(sound, keep, strict=True) if k] + [x for x, _ in bad]
         y = np.zeros((len(xs), 5))

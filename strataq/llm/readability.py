@@ -42,6 +42,7 @@ CELL_TAG = re.compile(r"(?i)</?t[dh]\b[^>]*>")
 TAG = re.compile(r"<[!/a-zA-Z][^<>]*>")
 BULLET = re.compile(r"^\s*(?:[-*•–]|\(?(?:\d{1,3}|[a-zA-Z]|[ivxIVX]{1,5})[.)])\s+")
 FURNITURE = re.compile(r"(?i)^\W*page \d+(?: of \d+)?\W*$")
+FILE_NAME = re.compile(r"^\S+\.[A-Za-z]\w{1,3}$")
 LEADERS = re.compile(r"\.{4,}|(?:\. ){4,}|_{4,}")
 HEADING = re.compile(r"(?i)^(?:(?:sec(?:tion|\.)?|§+|art(?:icle|\.)?|chapter|division|part|title)\s*[\dIVX]+[\d.\-]*[.,:]?|\d+(?:[.\-]\d+)+)\s*(?:part \d+:?)?\s*(?:[\w'-]+\s?){0,4}\.?$")
 # Abbreviations whose stop ends no sentence.
@@ -128,7 +129,7 @@ def prose_lines(text: str) -> list[str]:
         tokens = body.split()
         figures = sum(1 for t in tokens if not t[0].isalpha() and not LETTER.search(t))
         table = ("|" in line or "\t" in line) or (cells >= 4 and len(tokens) <= 2.6 * cells and line[-1] not in ".!?") or figures * 2 >= len(tokens)
-        if table or LEADERS.search(line) or (len(tokens) == 1 and not open_line) or (len(line) < 80 and HEADING.match(line)):
+        if table or LEADERS.search(line) or (len(tokens) == 1 and (not open_line or FILE_NAME.match(line))) or (len(line) < 80 and HEADING.match(line)):
             close()
         elif item:
             close()
