@@ -14,8 +14,9 @@ from strataq.session import latest, let
 
 # Stand-ins, from the private use area, for an escaped backslash and an escaped quote.
 SLASH, QUOTE = "", ""
-#: How often a string within a string is unwrapped; each level doubles the backslashes before its quotes.
-ENCODINGS = 6
+#: How often a string within a string is unwrapped at most. It leaves none: as each level doubles the backslashes before the
+#: quotes within, a text with more levels would be longer than a string can be.
+ENCODINGS = 32
 STRINGS = "array<string>"
 
 
@@ -24,11 +25,13 @@ def is_json(text: Column) -> Column:
     return F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit(",0]"))) == 2, F.lit(False))
 
 
-def unwrap(text: Column, times: int = ENCODINGS) -> Column:
+def unwrap(text: Column) -> Column:
     """A string that holds JSON counts as that JSON."""
-    for _ in range(times):
-        text = let(text, lambda t: F.when(F.ltrim(t).startswith('"'), F.from_json(F.concat(F.lit("["), t, F.lit("]")), STRINGS)[0]).otherwise(t))
-    return text
+
+    def once(t: Column, _: Column) -> Column:
+        return F.when(F.ltrim(t).startswith('"'), F.from_json(F.concat(F.lit("["), t, F.lit("]")), STRINGS)[0]).otherwise(t)
+
+    return let(text, lambda t: F.when(F.ltrim(t).startswith('"'), F.aggregate(F.sequence(F.lit(1), F.lit(ENCODINGS)), t, once)).otherwise(t))
 
 
 def members(text: Column) -> Column:
@@ -60,7 +63,7 @@ def _restored(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit(SLASH), F.lit("\\\\")), F.lit(QUOTE), F.lit('\\"'))
 
 
-def expand_strings(text: Column, times: int = ENCODINGS) -> Column:
+def expand_strings(text: Column) -> Column:
     """Strings that hold a JSON object or array, at any depth, are replaced by what they hold."""
 
     def piece(s: Column, i: Column) -> Column:
@@ -70,13 +73,16 @@ def expand_strings(text: Column, times: int = ENCODINGS) -> Column:
         chosen = let(inner, lambda v: F.when(is_json(v), v).otherwise(_restored(quoted)))
         return F.when(holds, chosen).when(i % 2 == 1, _restored(quoted)).otherwise(s)
 
-    def once(t: Column) -> Column:
-        parts = F.transform(F.split(_guarded(t), '"'), piece)
-        return F.when(t.contains('\\"'), F.array_join(parts, "")).otherwise(t)
+    def once(s: Column, _: Column) -> Column:
+        new = F.array_join(F.transform(F.split(_guarded(s["text"]), '"'), piece), "")
+        more = let(new, lambda n: F.struct(n.alias("text"), (n == s["text"]).alias("done")))
+        return F.when(s["done"], s).otherwise(more)
+
+    def loop(t: Column) -> Column:
+        start = F.struct(t.alias("text"), F.lit(False).alias("done"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ENCODINGS)), start, once, lambda s: s["text"])
 
-    for _ in range(times):
-        text = let(text, once)
-    return text
+    return let(text, lambda t: F.when(t.contains('\\"'), loop(t)).otherwise(t))
 
 
 def objects_with(key: str, text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RESULT = (
@@ -30,16 +30,21 @@ def fetch_results(spark: SparkSession, status: str, path: str) -> DataFrame:
     return read_results(spark, path) if status == "completed" else spark.createDataFrame([], f"line string, {RESULT}")
 
 
+def _plain_name(name: Column) -> Column:
+    """File names come with percent signs for some marks."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def read_backgrounds(spark: SparkSession, folder: str) -> DataFrame:
     """(question_id, text) of a folder of texts named by question."""
     files = spark.read.text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("_f"))
-    return files.select(F.regexp_replace("_f", r"\.txt$", "").alias("question_id"), F.col("value").alias("text"))
+    return files.select(F.regexp_replace(_plain_name(F.col("_f")), r"\.txt$", "").alias("question_id"), F.col("value").alias("text"))
 
 
 def read_trees(spark: SparkSession, folder: str) -> DataFrame:
     """(muni, tree_json), one file per municipality; the key is the file's name."""
     files = spark.read.text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("_f"))
-    return files.select(F.url_decode(F.regexp_replace("_f", r"\.json$", "")).alias("muni"), F.col("value").alias("tree_json"))
+    return files.select(F.regexp_replace(_plain_name(F.col("_f")), r"\.json$", "").alias("muni"), F.col("value").alias("tree_json"))
 
 
 def read_sheet(spark: SparkSession, path: str, schema: str) -> DataFrame:
