@@ -40,6 +40,7 @@ VALUE = re.compile(
 ROW = re.compile(r"(?i)^[^,\n]+, *[\d.,]*\d *, *(?:square feet|acres|[a-z. ]{2,20}?) *, *(?:yes|no|true|false)[.;]?$")
 DANGLING = re.compile(r"(?:^|[\s(])(?:ord|no|nos|art|sec|ch|fig|sq|approx|e\.g|i\.e|cf|vs|subd|dept|mr|mrs|dr)\.$", re.I)
 CLOSED = re.compile(r"[.!?…。][\"'”’)\]*_`]*$")
+NO_VALUE = re.compile(r"(?i)^(?:n/?a|none|not applicable|null)[.!]?$")
 DONT_KNOW = re.compile(r"(?i)^(?:i (?:don['’]?t|do not) know|no lo s[eé]|no s[eé]|unknown)[.!]?$")
 
 # Wording of the synthetic refusals: openings, cores, objects and closings in any combination.
@@ -146,7 +147,7 @@ def language_of(question: str) -> tuple[int, float, float]:
 SPEAKER = set("i me my mine we us our myself puedo podemos prefiero siento lamento debo me mi je j nous moi ich mir mich wir eu posso prefiro desculpe nós mi preferisco dispiace ik mij wij spijt".split())
 
 
-FEATURES = ["blank", "dont_know", "broken_json", "open", "ellipsis", "dangling", "broken_row", "stated", "cover", "in_question", "echo", "differs", "foreign", "same", "few", "short", "structured", "novel", "speaker"]
+FEATURES = ["blank", "dont_know", "broken_json", "open", "ellipsis", "dangling", "broken_row", "stated", "cover", "in_question", "echo", "differs", "foreign", "same", "few", "short", "structured", "novel", "speaker", "no_value"]
 
 
 def pair_features(p: Pair) -> tuple[list[float], list[str]]:
@@ -158,9 +159,9 @@ def pair_features(p: Pair) -> tuple[list[float], list[str]]:
     low = text.lower()
     words = TOKENS.findall(low)
     if blank or (structured and not broken and (not words or text[:1] in "[{")):
-        return [float(blank), float(dont_know), 0, 0, 0, 0, 0, float(not blank), 0, 0, 0, 0, 0, 0, 1, 1, float(structured), 0, 0], words[:40]
+        return [float(blank), float(dont_know), 0, 0, 0, 0, 0, float(not blank), 0, 0, 0, 0, 0, 0, 1, 1, float(structured), 0, 0, 0], words[:40]
     if broken:
-        return [0, 0, 1, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0, 1, 1, 0], words
+        return [0, 0, 1, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0, 1, 1, 0, 0], words
     open_, ellipsis, dangling, row, stated = (False, False, False, False, True) if structured and len(words) < 4 else ends_open(text, labels)
     intro = INTRO.match(bare)
     said = words if not intro and not labels else TOKENS.findall((bare[intro.end() :] if intro else bare).lower())
@@ -194,7 +195,7 @@ def pair_features(p: Pair) -> tuple[list[float], list[str]]:
             foreign = (v1 - votes[asked]) / (v1 + 1e-9)
             same = votes[asked] / (sum(votes) + 1e-9)
             differs = float(mine_ != asked and v1 - votes[asked] >= max(1.0, 0.25 * v1))
-    return [0, float(dont_know), 0, float(open_ or ellipsis or dangling or row), float(ellipsis), float(dangling), float(row), float(stated), cover, inside, echo, differs, foreign, same, few, float(len(words) < 8), float(structured), novel, float(not SPEAKER.isdisjoint(words))], words
+    return [0, float(dont_know), 0, float(open_ or ellipsis or dangling or row), float(ellipsis), float(dangling), float(row), float(stated), cover, inside, echo, differs, foreign, same, few, float(len(words) < 8), float(structured), novel, float(not SPEAKER.isdisjoint(words)), float(bool(labels) and (bool(NO_VALUE.match(value)) or not SPEAKER.isdisjoint(TOKENS.findall(value.lower())) and not DONT_KNOW.match(value)))], words
 
 
 class Buckets(dict):
@@ -428,7 +429,7 @@ def training_sample(requests: DataFrame, responses: DataFrame, size: int) -> lis
     return [Pair(question_of(r["prompt"]), r["prompt"] or "", r["content"], r["arguments"]) for r in rows]
 
 
-def defective_pairs(requests: DataFrame, responses: DataFrame, sample: int = 1500, seed: int = 42, model: Model | None = None) -> DataFrame:
+def defective_pairs(requests: DataFrame, responses: DataFrame, sample: int = 2000, seed: int = 42, model: Model | None = None) -> DataFrame:
     """(record_id, choice_index, defect) of every defective pair, each once.
 
     A pair is one choice of a response with its request; responses without a request, failed calls and rows with a null
