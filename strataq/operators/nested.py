@@ -18,6 +18,10 @@ SLASH, QUOTE = "", ""
 #: quotes within, a text with more levels would be longer than a string can be.
 ENCODINGS = 32
 STRINGS = "array<string>"
+_BODY = "id:string,model:string,created:string,choices:string,usage:string"
+TOP = f"struct<custom_id:string,error:string,status_code:string,response:struct<status_code:string,body:struct<{_BODY}>,{_BODY}>>"
+CHOICE = "struct<index:string,finish_reason:string,message:struct<role:string,content:string,tool_calls:string,function_call:string>>"
+CALL = "struct<id:string,function:struct<name:string,arguments:string>>"
 
 
 def is_json(text: Column) -> Column:
@@ -85,8 +89,8 @@ def expand_strings(text: Column) -> Column:
     return let(text, lambda t: F.when(t.contains('\\"'), loop(t)).otherwise(t))
 
 
-def objects_with(key: str, text: Column) -> Column:
-    """array<struct<pos, parent_pos, json>> of the objects with a key, in the order in which they begin.
+def objects_with(key: str, text: Column, texts: bool = True) -> Column:
+    """array<struct<pos, parent_pos, json>> of the objects with a key, in the order in which they begin; json is null without ``texts``.
 
     parent_pos is the position of the nearest enclosing object that has the key, -1 if there is none.
     """
@@ -104,7 +108,8 @@ def objects_with(key: str, text: Column) -> Column:
         node = F.struct(s["n"].alias("id"), s["open"].alias("above"), b["at"].alias("from"))
         end = F.struct(F.try_element_at(s["open"], F.lit(-1)).alias("id"), b["at"].alias("to"))
         opened = packed(s, n=s["n"] + 1, open=F.array_append(s["open"], s["n"]), seen=F.array_append(s["seen"], node.cast(one)))
-        closed = packed(s, open=F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1), ends=F.array_append(s["ends"], end))
+        left = F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1)
+        closed = packed(s, open=left, ends=F.array_append(s["ends"], end)) if texts else packed(s, open=left)
         return F.when(b["c"] == "{", opened).when(F.size(s["open"]) > 0, closed).otherwise(s)
 
     def read(t: Column) -> Column:
@@ -112,14 +117,16 @@ def objects_with(key: str, text: Column) -> Column:
             def step(s: Column, i: Column) -> Column:
                 part = parts[i]
                 length = F.length(part)
-                braces = F.filter(
-                    F.transform(F.split(part, ""), lambda c, k: F.struct(c.alias("c"), (s["at"] + k).alias("at"))), lambda b: b["c"].isin("{", "}")
-                )
+                if texts:
+                    marks = F.transform(F.split(part, ""), lambda c, k: F.struct(c.alias("c"), (s["at"] + k).alias("at")))
+                    braces = F.filter(marks, lambda b: b["c"].isin("{", "}"))
+                else:
+                    braces = F.transform(F.regexp_extract_all(part, F.lit("([{}])"), 1), lambda c: F.struct(c.alias("c"), F.lit(0).alias("at")))
                 outside = F.aggregate(braces, s, brace)
                 is_key = (part == key) & F.ltrim(F.coalesce(F.get(parts, i + 1), F.lit(""))).startswith(":") & (F.size(s["open"]) > 0)
                 inside = F.when(is_key, packed(s, marks=F.array_append(s["marks"], F.try_element_at(s["open"], F.lit(-1))))).otherwise(s)
                 moved = F.when(i % 2 == 1, inside).when(part.rlike("[{}]"), outside).otherwise(s)
-                return let(moved, lambda m: packed(m, at=s["at"] + length + 1))
+                return let(moved, lambda m: packed(m, at=s["at"] + length + 1)) if texts else moved
 
             def finish(s: Column) -> Column:
                 held = F.filter(s["seen"], lambda o: F.array_contains(s["marks"], o["id"]))
@@ -128,7 +135,7 @@ def objects_with(key: str, text: Column) -> Column:
                     parent = F.try_element_at(F.filter(o["above"], lambda a: F.array_contains(s["marks"], a)), F.lit(-1))
                     to = F.filter(s["ends"], lambda e: e["id"] == o["id"])[0]["to"]
                     place = F.array_position(F.transform(held, lambda h: h["id"]), F.coalesce(parent, F.lit(-1))) - 1
-                    json = _restored(t.substr(o["from"], to - o["from"] + 1))
+                    json = _restored(t.substr(o["from"], to - o["from"] + 1)) if texts else F.lit(None).cast("string")
                     return F.struct(pos.cast("long").alias("pos"), place.cast("long").alias("parent_pos"), json.alias("json"))
 
                 return let(held, lambda h: F.transform(h, lambda o, pos: row(h, o, pos)))
@@ -153,56 +160,63 @@ def result_lines(lines: DataFrame, line_id: str = "line_id", line: str = "line",
     one = latest(lines.select(F.col(line_id).alias("line_id"), F.col(line).alias("line"), F.col(read_at).alias("read_at")), ["line_id"], ["read_at"])
     valid = is_json(F.col("line")) & (F.trim("line") != "")
     one = one.select("line_id", "read_at", F.coalesce(valid, F.lit(False)).alias("valid"), F.when(valid, F.col("line")).alias("_line"))
-    one = one.withColumn("_top", fields(F.col("_line")))
-    one = one.withColumn("_response", fields(at(F.col("_top"), "response")))
-    one = one.withColumn("_body", fields(F.coalesce(at(F.col("_response"), "body"), F.to_json(F.col("_response")))))
+    # The usual layout takes one pass over the line; any other goes level by level.
+    one = one.withColumn("_t", F.from_json("_line", TOP))
+    usual = F.coalesce(F.col("_t.response.body.choices"), F.col("_t.response.choices"))
+    response = fields(at(fields(F.col("_line")), "response"))
+    body = let(response, lambda r: fields(F.coalesce(at(r, "body"), F.to_json(r))))
+    one = one.withColumn("_b", F.when(usual.isNull() & F.col("_line").contains("choices"), body))
 
     def choice(c: Column, i: Column) -> Column:
-        def with_fields(f: Column) -> Column:
-            return let(
-                fields(at(f, "message")),
-                lambda m: F.struct(
-                    F.col("line_id").alias("line_id"), i.cast("long").alias("choice_pos"), at(f, "index").try_cast("long").alias("index"), at(m, "role").alias("role"),
-                    at(m, "content").alias("content"), at(f, "finish_reason").alias("finish_reason"),
-                    F.coalesce(F.nullif(at(m, "tool_calls"), F.lit("null")), at(m, "function_call")).alias("calls"),
-                ),
+        def made(index: Column, finish: Column, m, get) -> Column:
+            return F.struct(
+                F.col("line_id").alias("line_id"), i.cast("long").alias("choice_pos"), index.try_cast("long").alias("index"), get(m, "role").alias("role"), get(m, "content").alias("content"),
+                finish.alias("finish_reason"), F.coalesce(F.nullif(get(m, "tool_calls"), F.lit("null")), get(m, "function_call")).alias("calls"),
             )
 
-        return let(fields(c), with_fields)
+        def level(t: Column) -> Column:
+            other = let(fields(c), lambda f: let(fields(at(f, "message")), lambda m: made(at(f, "index"), at(f, "finish_reason"), m, at)))
+            return F.when(t["message"].isNotNull(), made(t["index"], t["finish_reason"], t["message"], lambda m, k: m[k])).otherwise(other)
 
-    one = one.withColumn("choices", F.transform(members(at(F.col("_body"), "choices")), choice))
+        return let(F.from_json(c, CHOICE), level)
+
+    one = one.withColumn("choices", F.transform(members(F.coalesce(usual, at(F.col("_b"), "choices"))), choice))
 
     def call(c: Column, x: Column, j: Column) -> Column:
-        def with_fields(f: Column) -> Column:
-            return let(
-                F.when(at(f, "function").isNotNull(), fields(at(f, "function"))).otherwise(f),
-                lambda g: F.struct(
-                    F.col("line_id").alias("line_id"), c["choice_pos"].alias("choice_pos"), j.cast("long").alias("call_pos"), at(f, "id").alias("call_id"),
-                    at(g, "name").alias("name"), unwrap(at(g, "arguments")).alias("arguments"),
-                ),
-            )
+        def made(call_id: Column, name: Column, arguments: Column) -> Column:
+            return F.struct(F.col("line_id").alias("line_id"), c["choice_pos"].alias("choice_pos"), j.cast("long").alias("call_pos"), call_id.alias("call_id"), name.alias("name"), unwrap(arguments).alias("arguments"))
+
+        def level(t: Column) -> Column:
+            inner = lambda f: F.when(at(f, "function").isNotNull(), fields(at(f, "function"))).otherwise(f)
+            other = let(fields(x), lambda f: let(inner(f), lambda g: made(at(f, "id"), at(g, "name"), at(g, "arguments"))))
+            return F.when(t["function"].isNotNull(), made(t["id"], t["function"]["name"], t["function"]["arguments"])).otherwise(other)
 
-        return let(fields(x), with_fields)
+        return let(F.from_json(x, CALL), level)
 
     return one.withColumn("calls", F.flatten(F.transform(F.col("choices"), lambda c: F.transform(members(c["calls"]), lambda x, j: call(c, x, j)))))
 
 
-def flatten_lines(lines: DataFrame, function: str = "answer_question_lot_size_residential", key: str = "district_name") -> dict[str, DataFrame]:
-    """responses, choices, calls and districts, each keyed by line_id and the positions of its ancestors."""
+def flatten_lines(lines: DataFrame, function: str = "answer_question_lot_size_residential", key: str = "district_name", values: bool = True) -> dict[str, DataFrame]:
+    """responses, choices, calls and districts, each keyed by line_id and the positions of its ancestors.
+
+    Without ``values`` the table of districts has its keys alone.
+    """
     nested = result_lines(lines)
-    top, body = F.col("_top"), F.col("_body")
-    usage = fields(at(body, "usage"))
+    body = lambda k: F.coalesce(F.col(f"_t.response.body.{k}"), F.col(f"_t.response.{k}"), at(F.col("_b"), k))
+    usage = fields(body("usage"))
     responses = nested.select(
-        "line_id", "valid", at(top, "custom_id").alias("custom_id"), at(top, "error").alias("error"), F.coalesce(at(top, "status_code"), at(F.col("_response"), "status_code")).try_cast("int").alias("status_code"),
-        at(body, "id").alias("response_id"), at(body, "model").alias("model"), at(body, "created").try_cast("long").alias("created"),
+        "line_id", "valid", F.col("_t.custom_id").alias("custom_id"), F.col("_t.error").alias("error"), F.coalesce("_t.status_code", "_t.response.status_code").try_cast("int").alias("status_code"),
+        body("id").alias("response_id"), body("model").alias("model"), body("created").try_cast("long").alias("created"),
         at(usage, "prompt_tokens").try_cast("long").alias("prompt_tokens"), at(usage, "completion_tokens").try_cast("long").alias("completion_tokens"), F.size("choices").cast("long").alias("choices"),
     )
     choices = nested.select(F.inline("choices")).drop("calls")
     calls = nested.select(F.inline("calls"))
     found = calls.where((F.col("name") == function) & F.col("arguments").isNotNull())
-    found = found.withColumn("_d", objects_with(key, F.col("arguments")))
+    found = found.withColumn("_d", objects_with(key, F.col("arguments"), values))
 
     def district(d: Column) -> Column:
+        if not values:
+            return F.struct(F.col("line_id").alias("line_id"), F.col("choice_pos").alias("choice_pos"), F.col("call_pos").alias("call_pos"), d["pos"].alias("district_pos"), d["parent_pos"].alias("parent_pos"))
         return let(
             fields(d["json"]),
             lambda f: F.struct(

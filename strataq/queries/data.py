@@ -40,7 +40,7 @@ def _nested(name: str):
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nested("districts")(spark, sf_dir).select("line_id", "choice_pos", "call_pos", "district_pos", "parent_pos")
+    return flatten_lines(table(spark, sf_dir, "batch_line"), values=False)["districts"].select("line_id", "choice_pos", "call_pos", "district_pos", "parent_pos")
 
 
 QUERIES = {
