@@ -14,7 +14,7 @@ KIND = r"_(main|subtask|parse)_"
 
 
 def _choices(spark, sf_dir):
-    rows = table(spark, sf_dir, "api_response").where("response IS NOT NULL").select("record_id", F.lower(F.trim("custom_id")).alias("custom_id"), F.explode("response.body.choices").alias("_c")).distinct()
+    rows = table(spark, sf_dir, "api_response").where("response IS NOT NULL").select("record_id", F.lower(F.trim("custom_id")).alias("custom_id"), F.explode("response.body.choices").alias("_c"))
     qid = F.regexp_extract("custom_id", r"_(?:main|subtask|parse)_([0-9a-z]+)", 1)
     rows = rows.select("record_id", "custom_id", F.regexp_extract("custom_id", KIND, 1).alias("kind"), qid.alias("question_id"), F.col("_c.index").cast("long").alias("choice"), F.col("_c.message.content").alias("content"),
                        F.try_element_at(F.col("_c.message.tool_calls"), F.lit(1))["function"]["arguments"].alias("arguments"))
@@ -23,7 +23,9 @@ def _choices(spark, sf_dir):
 
 
 def _main(spark, sf_dir):
-    return A.parse_answers(_choices(spark, sf_dir).where("kind = 'main' AND content IS NOT NULL"))
+    """Parsed first, so that repeated rows are dropped without moving whole answers."""
+    rows = A.parse_answers(_choices(spark, sf_dir).where("kind = 'main' AND content IS NOT NULL"))
+    return rows.drop("content", "arguments").dropDuplicates(["record_id", "choice"])
 
 
 def answer_extract(spark, sf_dir):
@@ -43,7 +45,8 @@ def answer_needs_llm(spark, sf_dir):
 
 
 def _calls(spark, sf_dir):
-    return A.parse_calls(_choices(spark, sf_dir).where("kind = 'parse'"))
+    rows = A.parse_calls(_choices(spark, sf_dir).where("kind = 'parse'"))
+    return rows.drop("content", "arguments").dropDuplicates(["record_id", "choice"])
 
 
 def tool_json_parse(spark, sf_dir):
@@ -69,7 +72,8 @@ def aggregate_dispatch(spark, sf_dir):
 
 
 def subtask_clean(spark, sf_dir):
-    return _choices(spark, sf_dir).where("kind = 'subtask' AND content IS NOT NULL").select("record_id", "choice", A.clean_subtask(F.col("content")).alias("text"))
+    rows = _choices(spark, sf_dir).where("kind = 'subtask' AND content IS NOT NULL")
+    return rows.select("record_id", "choice", A.clean_subtask(F.col("content")).alias("text")).dropDuplicates(["record_id", "choice"])
 
 
 def _questions(spark, sf_dir):
@@ -109,9 +113,10 @@ def background_join(spark, sf_dir):
 
 
 def request_tokens(spark, sf_dir):
-    r = table(spark, sf_dir, "api_request").select("batch_id", "custom_id", "body.messages").distinct()
+    r = table(spark, sf_dir, "api_request").select("batch_id", "custom_id", "body.messages")
     sums = F.aggregate("messages", F.lit(0).cast("long"), lambda s, m: s + token_len(m["content"]))
-    return r.select("batch_id", "custom_id", sums.alias("tokens"))
+    counted = r.select("batch_id", "custom_id", sums.alias("tokens"), F.xxhash64("messages").alias("_h"))  # a hash moves instead of the texts
+    return counted.distinct().drop("_h")
 
 
 def usage_totals(spark, sf_dir):
