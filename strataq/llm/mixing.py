@@ -43,10 +43,12 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, total_tokens: int | None =
     """(source, doc_id, epoch, tokens, key) of every use of a document; epochs count from 1.
 
     ``sizes`` is (doc_id, source, tokens), best checkpointed. Documents come whole, so a source ends within half a document
-    of its budget. Documents without tokens and sources without a target give no rows. Ranges of keys hold about
+    of its budget. Documents without tokens or with a null id and sources without a target give no rows; rows of
+    one doc_id each count, so ``sizes`` should hold it once. Other columns are not looked at. Ranges of keys hold about
     ``range_documents`` documents whatever their source, as the keys are uniform; ties of the key are broken by doc_id. The
     budgets are broadcast: they have one row per target source.
     """
+    sizes = sizes.where("doc_id IS NOT NULL").select("doc_id", "source", "tokens")
     n = sizes.count()
     ranges = max(1, -(-n // range_documents))
     plan = F.broadcast(budgets(sizes, targets, total_tokens).where("budget > 0").select("source", "available", "budget", "max_repeats"))

@@ -76,7 +76,7 @@ def fill_windows(sizes: list[int], sources: list[str], capacity: int, shares: di
             q = queues[source]
             rest = room - size
             if window and rest:  # a pair of smaller items may fill the room exactly
-                pair = exact_pair(queues, room) if rest > 0 and room <= capacity // 2 else None
+                pair = exact_pair(queues, room, deficit) if room <= capacity // 2 else None
                 if pair:
                     for size, source in pair:
                         window.append(queues[source].take(size))
@@ -92,15 +92,20 @@ def fill_windows(sizes: list[int], sources: list[str], capacity: int, shares: di
     return windows
 
 
-def exact_pair(queues: dict[str, Queue], room: int, tries: int = 12) -> list[tuple[int, str]] | None:
-    """Two items that fill the room exactly, among the ``tries`` largest sizes of each queue that fit; None if there are none."""
-    for s, q in queues.items():
+def exact_pair(queues: dict[str, Queue], room: int, deficit: dict[str, float], tries: int = 12) -> list[tuple[int, str]] | None:
+    """Two items that fill the room exactly, among the ``tries`` largest sizes of each queue that fit; None if there are none.
+
+    Sources with greater deficits come first, for the second item after the first has been paid.
+    """
+    order = sorted(queues, key=lambda s: -deficit[s])
+    for s in order:
+        q = queues[s]
         k = bisect_right(q.sizes, room)
-        for size in q.sizes[max(0, k - tries) : k]:
+        for size in reversed(q.sizes[max(0, k - tries) : k]):
             need = room - size
-            for other, p in queues.items():
-                if need in p.at and (need != size or other != s or len(p.at[need]) > 1):
-                    return [(size, s), (need, other)]
+            fits = [o for o in order if need in queues[o].at and (need != size or o != s or len(queues[o].at[need]) > 1)]
+            if fits:
+                return [(size, s), (need, max(fits, key=lambda o: deficit[o] - (size if o == s else 0)))]
     return None
 
 
@@ -109,12 +114,12 @@ def pack_documents(sizes: DataFrame, specs: list[tuple[str, int]], shares: dict[
 
     ``sizes`` is (doc_id, source, tokens), best checkpointed. A document comes whole, but for one above the capacity: it is cut
     into full pieces, each of which fills a container, and a rest, which is packed like a document. Documents without tokens
-    need no room and give no rows. ``shares`` are the target proportions; by default those of the corpus, as every document
+    need no room and give no rows, nor do null ids. Other columns are not looked at. ``shares`` are the target proportions; by default those of the corpus, as every document
     has to be placed. No table is broadcast, and buckets hold about ``bucket_tokens`` each, whatever the corpus.
     """
     if any(c < 1 for _, c in specs):
         raise ValueError("capacities must be positive")
-    sizes = sizes.where("tokens > 0")
+    sizes = sizes.where("tokens > 0 AND doc_id IS NOT NULL").select("doc_id", "source", "tokens")
     total = sizes.agg(F.sum("tokens")).first()[0] or 0
     n_buckets = max(1, -(-total // bucket_tokens))
     spec = F.explode(F.array(*[F.struct(F.lit(n).alias("spec_name"), F.lit(c).cast("long").alias("capacity")) for n, c in specs]))

@@ -106,3 +106,19 @@ def test_sizes_of_odd_documents(spark):
     got = {r["doc_id"]: (r["source"], r["tokens"]) for r in token_sizes(spark.createDataFrame(rows, "doc_id bigint, text string, source string, tokens int")).collect()}
     n = len(encoder(TokenizerSpec()).encode_ordinary("long " * 30_000))
     assert got[1] == ("a_b", 2) and got[2] == ("unknown", 0) and got[3] == ("x", 0) and got[4] == ("a_b", n) and got[5][0] == "a_b" and len(got) == 5
+
+
+def test_clashing_columns_and_null_ids(spark):
+    docs = corpus(60, 9) + [(None, "hot", 5)]
+    plain = spark.createDataFrame(docs, SIZES)
+    odd = spark.createDataFrame([(*d, 1, 2, 3, 4, "x", 6) for d in docs], SIZES + ", capacity int, budget int, bucket int, share int, key string, range int")
+    assert {tuple(r) for r in pack_documents(plain, [("x", 80)]).collect()} == {tuple(r) for r in pack_documents(odd, [("x", 80)]).collect()}
+    target = spark.createDataFrame([("hot", 0.5, 2, 1), ("s1", 0.5, 2, 1)], "source string, target_share double, max_repeats int, budget int")
+    a, b = [{tuple(r) for r in mix_sources(d, target).collect()} for d in (plain, odd)]
+    assert a == b and a and all(r[1] is not None for r in a)
+
+
+def test_given_shares(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], 10) for i in range(400)], SIZES)
+    rows = pack_documents(docs, [("x", 100)], shares={"a": 0.8, "b": 0.2}, bucket_tokens=10**9).where("container_id = '0:0'").groupBy("source").sum("tokens").collect()
+    assert {r[0]: r[1] for r in rows} == {"a": 80, "b": 20}
