@@ -188,8 +188,8 @@ def convert_quantities(
     )
     n = F.when(in_text, number(F.col("_said.q"))).when(dims, F.col("_field.width") * F.col("_field.depth")).otherwise(number(F.col("_field.q")))
     out = out.withColumns({"_alias": alias, "_n": n, "_basis": basis})
-    rates = graph.table(spark, [target]).select(F.col("unit").alias("_alias"), F.col("scale").alias("_scale"), F.col("shift").alias("_shift"))
-    out = out.join(F.broadcast(rates), "_alias", "left")  # bounded by the constant graph
+    rates = graph.table(spark, [target]).select(F.col("unit").alias("_alias"), F.col("target").alias("_target"), F.col("scale").alias("_scale"), F.col("shift").alias("_shift"))
+    out = out.withColumn("_target", F.lit(target)).join(F.broadcast(rates), ["_alias", "_target"], "left")  # bounded by the constant graph
     size = F.round(F.col("_n") * F.col("_scale") + F.col("_shift"), 6)
     return out.select(
         *[F.col(f"`{c}`") for c in keep],

@@ -7,7 +7,7 @@ municipality that holds a third of all chunks costs no more than its partial top
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataq.functions.text import tokens, zscore
+from strataq.functions.text import zscore
 
-SCORED = "question_id string, muni string, chunk_id bigint, tokens bigint, cosine double, priority int"
+SCORED = "question_id string, muni string, chunk_id bigint, tokens bigint, cosine double, priority int, relevance double"
 PAIR = ["question_id", "muni"]
 #: Questions whose vectors go to a worker at a time.
 BLOCK = 2000
@@ -28,26 +28,39 @@ def last_vector(vectors: DataFrame, key: str, order: str, vector: str) -> DataFr
     return vectors.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(vector, order).alias(vector))
 
 
-def score_chunks(chunks: DataFrame, questions: DataFrame, keywords: dict[str, list[str]] | None = None) -> DataFrame:
-    """Cosine of every question with every chunk, and the place of the first keyword that the chunk contains.
+def query_words(query: str | None) -> frozenset[str]:
+    return frozenset(w for w in (query or "").lower().replace("\n", " ").split(" ") if w)
 
-    ``chunks`` is (muni, chunk_id, tokens, vec[, text]), ``questions`` (question_id, vec). Questions are the stated query set:
-    they are taken in blocks of BLOCK vectors, each multiplied with Arrow batches of chunks in one pass. Without a vector the
-    score is -1. Scores are rounded to 9 places, so that equal vectors tie.
+
+def lexical_relevance(queries: list[frozenset[str]], text: str | None) -> list[float]:
+    """The share of each query's distinct words that the text holds, case aside: the offline default of a reranker."""
+    words = query_words(text)
+    return [round(len(q & words) / len(q), 9) if q else 0.0 for q in queries]
+
+
+def score_chunks(chunks: DataFrame, questions: DataFrame, keywords: dict[str, list[str]] | None = None, relevance: Callable[[list[frozenset[str]], str | None], list[float]] | None = None) -> DataFrame:
+    """Cosine of every question with every chunk, the place of the first keyword that the chunk contains, and its relevance.
+
+    ``chunks`` is (muni, chunk_id, tokens, vec[, text]), ``questions`` (question_id, vec[, rephrase]). Questions are the stated
+    query set: they are taken in blocks of BLOCK vectors, each multiplied with Arrow batches of chunks in one pass. Without a
+    vector the score is -1. Scores are rounded to 9 places, so that equal vectors tie. Each text is read once for all
+    questions; relevance is null unless a function for it is given.
     """
-    rows = [(r["question_id"], r["vec"]) for r in questions.select("question_id", "vec").orderBy("question_id").toLocalIterator()]
+    more = [F.col("rephrase")] if relevance else [F.lit(None).cast("string").alias("rephrase")]
+    rows = [(r["question_id"], r["vec"], r["rephrase"]) for r in questions.select("question_id", "vec", *more).orderBy("question_id").toLocalIterator()]
     out = None
     for start in range(0, max(1, len(rows)), BLOCK):
         part = rows[start : start + BLOCK]
-        ids = [q for q, _ in part]
+        ids = [q for q, *_ in part]
+        asked = [query_words(t) for *_, t in part]
         words = [[k.lower() for k in (keywords or {}).get(q, [])] for q in ids]
-        width = max((len(v) for _, v in part if v is not None), default=0)
-        matrix = np.array([v if v is not None and len(v) else [0.0] * width for _, v in part], dtype=np.float64).reshape(len(part), width)
+        width = max((len(v) for _, v, _ in part if v is not None), default=0)
+        matrix = np.array([v if v is not None and len(v) else [0.0] * width for _, v, _ in part], dtype=np.float64).reshape(len(part), width)
         norm = np.linalg.norm(matrix, axis=1)
-        keep = ["muni", "chunk_id", "tokens", "vec"]
+        keep = ["muni", "chunk_id", "tokens", "vec", *(["text"] if relevance else [])]
         have = chunks.select(*keep, *([first_keyword(F.col("text"), words).alias("_p")] if any(words) else []))
 
-        def run(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix, norm=norm, width=width) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame], ids=ids, asked=asked, matrix=matrix, norm=norm, width=width) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 n = len(pdf)
                 if not n or not len(ids):
@@ -69,9 +82,10 @@ def score_chunks(chunks: DataFrame, questions: DataFrame, keywords: dict[str, li
                         "chunk_id": np.repeat(pdf["chunk_id"].to_numpy(), k),
                         "tokens": np.repeat(pdf["tokens"].to_numpy(), k),
                         "cosine": score.ravel(),
+                        "relevance": np.ravel([relevance(asked, t) for t in pdf["text"]]) if relevance else np.full(n * k, np.nan),
                         "priority": pd.array(np.where(np.isnan(priority) | (priority < 0), -1, priority), dtype="Int32"),
                     }
-                )
+                )[["question_id", "muni", "chunk_id", "tokens", "cosine", "priority", "relevance"]]
 
         block = have.mapInPandas(run, SCORED).withColumn("priority", F.when(F.col("priority") >= 0, F.col("priority")))
         out = block if out is None else out.unionByName(block)
@@ -107,16 +121,9 @@ def cosine_stats(scored: DataFrame) -> DataFrame:
     return scored.groupBy(*PAIR).agg(F.count("*").alias("chunks"), F.avg("cosine").alias("mean"), F.stddev_pop("cosine").alias("sd"))
 
 
-def lexical_relevance(query: Column, text: Column) -> Column:
-    """The share of a query's distinct words that the text holds, case aside: the offline default of a reranker."""
-    words = F.array_distinct(tokens(F.lower(query)))
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(words, tokens(F.lower(text)))).cast("double"), F.size(words)), F.lit(0.0))
-
-
-def semantic_rerank(scored: DataFrame, questions: DataFrame, texts: DataFrame, k: int = 50) -> DataFrame:
+def semantic_rerank(scored: DataFrame, k: int = 50) -> DataFrame:
     """The k best by cosine, ordered by z-score of relevance (over the k) plus z-score of cosine (over all chunks)."""
-    top = ranked(scored, k).join(texts.select("chunk_id", "text"), "chunk_id").join(F.broadcast(questions.select("question_id", "rephrase")), "question_id")
-    top = top.withColumn("relevance", F.round(lexical_relevance(F.col("rephrase"), F.col("text")), 9)).drop("rephrase", "text")
+    top = ranked(scored, k).withColumn("relevance", F.coalesce(F.nanvl("relevance", F.lit(0.0)), F.lit(0.0)))
     top = top.join(cosine_stats(scored), PAIR)
     over = W.partitionBy(*PAIR)  # at most k rows
     top = top.withColumns({"_m": F.avg("relevance").over(over), "_s": F.stddev_pop("relevance").over(over)})
@@ -125,17 +132,18 @@ def semantic_rerank(scored: DataFrame, questions: DataFrame, texts: DataFrame, k
     return top.withColumn("place", F.row_number().over(over.orderBy(F.desc("combined"), "pos"))).select(*PAIR, "chunk_id", "tokens", "cosine", "relevance", "combined", "place")
 
 
-def rerank(scored: DataFrame, questions: DataFrame, texts: DataFrame, budget: int = 4000, k: int = 50) -> DataFrame:
+def rerank(chunks: DataFrame, questions: DataFrame, keywords: dict[str, list[str]], budget: int = 4000, k: int = 50) -> DataFrame:
     """Each question's way of ranking: ``semantic`` (k best), ``keyword``, or plain cosine for anything else.
 
-    The last two aren't cut at k; as a chunk has at least one token, ``budget`` chunks are all that can ever be selected.
+    Each way scores its own questions alone. The last two aren't cut at k; as a chunk has at least one token, ``budget`` chunks
+    are all that can ever be selected.
     """
-    with_type = scored.join(F.broadcast(questions.select("question_id", F.lower("rerank_type").alias("_t"))), "question_id")
-    has_tokens = with_type.where("tokens > 0")
+    kind = F.coalesce(F.lower("rerank_type"), F.lit(""))
     cols = [*PAIR, "chunk_id", "tokens", "place"]
-    plain = ranked(has_tokens.where("_t IS NULL OR _t NOT IN ('semantic', 'keyword')"), budget).withColumnRenamed("pos", "place").select(cols)
-    keyed = ranked(has_tokens.where("_t = 'keyword'"), budget, by_keyword=True).withColumnRenamed("pos", "place").select(cols)
-    best = semantic_rerank(with_type.where("_t = 'semantic'").drop("_t"), questions, texts, k).select(cols)
+    some = chunks.where("tokens > 0")
+    plain = ranked(score_chunks(some, questions.where(~kind.isin("semantic", "keyword"))), budget).withColumnRenamed("pos", "place").select(cols)
+    keyed = ranked(score_chunks(some, questions.where(kind == "keyword"), keywords), budget, by_keyword=True).withColumnRenamed("pos", "place").select(cols)
+    best = semantic_rerank(score_chunks(chunks, questions.where(kind == "semantic"), relevance=lexical_relevance), k).select(cols)
     return plain.unionByName(keyed).unionByName(best)
 
 

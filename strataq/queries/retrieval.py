@@ -40,8 +40,8 @@ def _keywords(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
     return out
 
 
-def _scored(spark: SparkSession, sf_dir: str, keywords: bool = False) -> DataFrame:
-    return R.score_chunks(chunks(spark, sf_dir), questions(spark, sf_dir), _keywords(spark, sf_dir) if keywords else None)
+def _scored(spark: SparkSession, sf_dir: str, keywords: bool = False, relevance: bool = False) -> DataFrame:
+    return R.score_chunks(chunks(spark, sf_dir), questions(spark, sf_dir), _keywords(spark, sf_dir) if keywords else None, R.lexical_relevance if relevance else None)
 
 
 def cosine_scores(spark, sf_dir):
@@ -69,13 +69,11 @@ def zscore_cos_all(spark, sf_dir):
 
 
 def lexical_rerank(spark, sf_dir):
-    c, q = chunks(spark, sf_dir), questions(spark, sf_dir)
-    top = R.ranked(_scored(spark, sf_dir), K).join(c.select("chunk_id", "text"), "chunk_id").join(F.broadcast(q.select("question_id", "rephrase")), "question_id")
-    return top.select("question_id", "muni", "chunk_id", F.round(R.lexical_relevance(F.col("rephrase"), F.col("text")), 6).alias("relevance"))
+    return R.ranked(_scored(spark, sf_dir, relevance=True), K).select("question_id", "muni", "chunk_id", F.round("relevance", 6).alias("relevance"))
 
 
 def _semantic(spark, sf_dir):
-    return R.semantic_rerank(_scored(spark, sf_dir), questions(spark, sf_dir), chunks(spark, sf_dir), K)
+    return R.semantic_rerank(_scored(spark, sf_dir, relevance=True), K)
 
 
 def semantic_rerank(spark, sf_dir):
@@ -88,7 +86,7 @@ def keyword_rerank(spark, sf_dir):
 
 
 def rerank_dispatch(spark, sf_dir):
-    rows = R.rerank(_scored(spark, sf_dir, True), questions(spark, sf_dir), chunks(spark, sf_dir), BUDGET, K)
+    rows = R.rerank(chunks(spark, sf_dir), questions(spark, sf_dir), _keywords(spark, sf_dir), BUDGET, K)
     return rows.where("place <= 10").select("question_id", "muni", "chunk_id", F.col("place").cast("long").alias("place"))  # a top-10 report
 
 

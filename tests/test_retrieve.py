@@ -74,16 +74,16 @@ def test_budget_stops_at_the_first_overflow(spark):
 def test_semantic_rerank_zero_deviation_and_empty_context(spark):
     c = spark.createDataFrame([("m", 1, 3, [1.0, 0.0, 0.0, 0.0], "parking"), ("m", 2, 3, [1.0, 0.0, 0.0, 0.0], "parking")], CHUNK)
     q = spark.createDataFrame([("q", [1.0, 0.0, 0.0, 0.0], "parking", "semantic")], "question_id string, vec array<double>, rephrase string, rerank_type string")
-    out = R.semantic_rerank(R.score_chunks(c, q), q, c).orderBy("place").collect()
+    out = R.semantic_rerank(R.score_chunks(c, q, relevance=R.lexical_relevance)).orderBy("place").collect()
     assert [(r["chunk_id"], r["combined"]) for r in out] == [(1, 0.0), (2, 0.0)]
     pairs = spark.createDataFrame([("q", "m"), ("q", "none")], "question_id string, muni string")
-    ctx = {r["muni"]: r["context"] for r in R.contexts(R.within_budget(R.semantic_rerank(R.score_chunks(c, q), q, c).drop("cosine"), 3), pairs, c).collect()}
+    ctx = {r["muni"]: r["context"] for r in R.contexts(R.within_budget(R.semantic_rerank(R.score_chunks(c, q, relevance=R.lexical_relevance)).drop("cosine"), 3), pairs, c).collect()}
     assert ctx == {"m": "##parking", "none": ""}
 
 
 def test_dispatch_and_empty_tables(spark):
     chunks, questions, c, q = fixture(spark)
-    out = R.rerank(R.score_chunks(c, q, {"q1": ["parking"]}), q, c, budget=30, k=5).collect()
+    out = R.rerank(c, q, {"q1": ["parking"]}, budget=30, k=5).collect()
     per = {}
     for r in out:
         per.setdefault((r["question_id"], r["muni"]), []).append(r["place"])
