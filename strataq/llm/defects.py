@@ -56,6 +56,8 @@ OBJECTS = "this|that|it|this question|your question|this request|the question|lo
 CLOSINGS = "||| Please consult a licensed attorney.| Please contact the town clerk instead.| You may want to ask the planning board instead.| A professional who knows R-1 can advise you.| If you have other questions, I am glad to help with those.| Is there something else you need?| It asks for a legal judgement.| The content may concern private property.".split("|")
 REFUSALS_ABROAD = [
     "Lo siento, no puedo ayudar con esta solicitud.", "Lo siento, pero no puedo responder a esa pregunta.", "No me es posible dar una opinión legal sobre este asunto.", "Prefiero no contestar. Consulte a un abogado.",
+    "Como asistente, no tengo permiso para hablar de la ordenanza.", "No tengo permiso para opinar sobre este asunto.", "Debo abstenerme de responder.", "Tengo que rechazar esta solicitud.", "Como modelo de lenguaje, no puedo opinar sobre temas legales.",
+    "Me temo que no puedo ayudar con eso.", "Esta pregunta queda fuera de lo que puedo tratar.", "No estoy en condiciones de dar asesoramiento legal.",
     "Désolé, je ne peux pas vous aider avec cette demande.", "Je ne suis pas en mesure de donner un avis juridique.", "Je préfère ne pas répondre à cette question.",
     "Es tut mir leid, dabei kann ich nicht helfen.", "Leider darf ich zu dieser Frage keine Auskunft geben.", "Ich möchte diese Frage nicht beantworten.",
     "Desculpe, não posso ajudar com este pedido.", "Infelizmente não posso dar uma opinião jurídica.", "Mi dispiace, non posso aiutare con questa richiesta.", "Het spijt me, hier kan ik niet bij helpen.",
@@ -144,7 +146,7 @@ def language_of(question: str) -> tuple[int, float, float]:
 
 
 # Words by which a speaker means itself.
-SPEAKER = set("i me my mine we us our myself puedo podemos prefiero siento lamento debo me mi je j nous moi ich mir mich wir eu posso prefiro desculpe nós mi preferisco dispiace ik mij wij spijt".split())
+SPEAKER = set("i me my mine we us our myself puedo podemos prefiero siento lamento debo me mi yo tengo soy estoy quiero deseo nosotros nuestra mis je j nous suis peux préfère moi ich mir mich wir eu posso prefiro desculpe nós tenho sou mi preferisco devo dispiace ik mij wij spijt".split())
 
 
 FEATURES = ["blank", "dont_know", "broken_json", "open", "ellipsis", "dangling", "broken_row", "stated", "cover", "in_question", "echo", "differs", "foreign", "same", "few", "short", "structured", "novel", "speaker", "no_value"]
@@ -181,7 +183,8 @@ def pair_features(p: Pair) -> tuple[list[float], list[str]]:
     value = text[labels[-1][1] :].strip() if labels else ""
     adds = stated and not (TOKENS.findall(value.lower()) and set(TOKENS.findall(value.lower())) <= question and len(value) > 12)
     whole = len(said) >= 0.7 * len(TOKENS.findall(p.question)) if question else False
-    echo = float(not adds and len(said) > 2 and ((inside >= 0.9 and whole) or (cover >= 0.85 and novel <= 0.05)))
+    begun = bool(open_ and said and said[-1] not in question and novel > 0)  # it goes on after what it repeats
+    echo = float(not adds and not begun and len(said) > 2 and ((inside >= 0.9 and whole) or (cover >= 0.85 and novel <= 0.05)))
     prose = low[: labels[0][0]] if labels else low
     spoken = TOKENS.findall(prose) if labels else words
     differs = foreign = same = 0.0
@@ -274,8 +277,9 @@ def synthetic(p: Pair, others: list[Pair], r: random.Random) -> list[tuple[Pair,
         if any(ends_open(cut)[:4]):
             out.append((put(cut), "truncated"))
     lead = [s for s in re.split(r"(?<=\.)\s+", text) if s.endswith(".")] if not structured else []
-    says_no = r.choice(REFUSALS_ABROAD) if r.random() < 0.04 else refused(r)
-    out.append((put((" ".join(lead[: r.choice([0, 0, 0, 1, 2])]) + " " + says_no).strip()), "refusal"))
+    for n_lead in ([0], [1, 1, 2]):
+        says_no = r.choice(REFUSALS_ABROAD) if r.random() < (0.5 if p.question and language_of(p.question)[0] else 0.04) else refused(r)
+        out.append((put((" ".join(r.sample(lead, min(len(lead), r.choice(n_lead)))) + " " + says_no).strip()), "refusal"))
     unknown = r.choice(UNKNOWING).replace("{x}", r.choice(OBJECTS)) + r.choice(UNKNOWN_VALUES)
     if p.content is not None and any(x in p.question.lower() for x in ("¿", " la ", " el ")) == unknown.startswith(("No p", "Las ")):
         out.append((put((" ".join(lead[: r.choice([0, 1, 2, 3])]) + " " + unknown).strip()), ""))
@@ -299,7 +303,8 @@ def train(sample: list[Pair], seed: int = 42, rounds: int = 60) -> Model:
     """One-vs-rest logistic regression. What stands an exact check is taken out of the sound pairs at
     once; a first model cleans them of what it finds defective, a second one is kept.
 
-    Thresholds: for each defect the logit that parts the held-out sound pairs from its held-out versions with fewest errors.
+    Thresholds: for each defect the logit that parts its held-out versions from other held-out pairs with fewest errors, among
+    those that stand its exact check.
     """
     r, hashed = random.Random(seed), Hashed()
     made = [(q, y) for p in sample for q, y in synthetic(p, sample, r)]
@@ -318,22 +323,28 @@ def train(sample: list[Pair], seed: int = 42, rounds: int = 60) -> Model:
         held = np.array([i % 5 == 0 for i in range(len(xs))])
         model = _fit([x for x, h in zip(xs, held, strict=True) if not h], y[~held], rounds if turn else rounds // 2)
         z = model.logits([x for x, h in zip(xs, held, strict=True) if h]) if held.any() else np.zeros((0, 5))
-        model.thresholds = np.array([_threshold(z[:, k], y[held][:, k]) for k in range(5)])
+        ok = np.array([[confirmed(kind, d) for kind in DEFECTS] for (d, _), h in zip(xs, held, strict=True) if h]).reshape(-1, 5)
+        found = [_threshold(z[ok[:, k], k], y[held][ok[:, k], k]) for k in range(5)]
+        # A refusal's check proves little; behind the other checks an even chance is enough.
+        model.thresholds = np.array([t if kind == "refusal" else min(t, 0.0) for t, kind in zip(found, DEFECTS, strict=True)])
         if turn == 0 and len(sound):
             keep &= (model.logits(sound) < model.thresholds).all(axis=1)
     return model
 
 
 def _threshold(z: np.ndarray, y: np.ndarray) -> float:
-    if not (y == 1).any() or not (y == 0).any():
+    if not (y == 1).any():
         return 0.0
+    if not (y == 0).any():  # what stands the check is never sound here
+        return float(np.clip(z.min() - 1.0, -2.0, 2.0))
     order = np.argsort(z)
     zs, ys = z[order], y[order]
     wrong = np.concatenate([[0], np.cumsum(ys)]) + np.concatenate([np.cumsum((1 - ys)[::-1])[::-1], [0]])
     edges = np.concatenate([[zs[0] - 1], zs, [zs[-1] + 1]])
     least = np.flatnonzero(wrong == wrong.min())
     k = int(least[np.argmax(edges[least + 1] - edges[least])])  # the widest gap
-    return float(np.clip((edges[k] + edges[k + 1]) / 2, -2.0, 2.0))
+    # Nearer to the defective side, as far more pairs are sound than here.
+    return float(np.clip(0.25 * edges[k] + 0.75 * edges[k + 1], -2.0, 2.0))
 
 
 def _fit(xs: list[tuple[list[float], set[int]]], y: np.ndarray, rounds: int, rate: float = 0.5, decay: float = 1e-5) -> Model:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 CUTS = (5.5, 9.5, 13.5)
 # Frequent function words.
 FUNCTION_WORDS = {
-    "en": "a the of and to in is for that be by as are with on or not this it an from at which shall may will must can you your has have was were if when who their they we our no any all but than there so what how before after until under only its been would such each please do does here he she us them could should into does did was every where there whether whom these those about over between above below per both either neither because against within without during since while although yet".split(),
+    "en": "a the of and to in is for that be by as are with on or not this it an from at which shall may will must can you your has have was were if when who their they we our no any all but than there so what how before after until under only its been would such each please do does here he she us them could should into does did was every where there whether whom these those about over between above below per both either neither because against within without during since while although yet i me my mine am don doesn isn t s can cannot im ve ll just also".split(),
     "es": "a el la los las de del y en que un una por para con no se es al lo como más su sus o este esta entre cuando si sin sobre también ser son fue ha puede debe desde hasta todos antes donde quien".split(),
     "fr": "a le la les des du de et en un une que qui dans pour par sur avec au aux ne pas ce cette est sont il elle ou se son sa ses plus peut doit être nous vous d l où dont avant leur lorsque entre tout tous".split(),
     "de": "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum kann muss oder vor zur darf wenn innerhalb".split(),
