@@ -8,7 +8,9 @@ from strataq.functions.text import token_len
 from strataq.operators import answers as A
 from strataq.operators import pairs as P
 from strataq.operators import requests as Q
+from strataq.providers import complete_requests
 from strataq.session import table
+from strataq.sources.wire import RESULT
 
 KIND = r"_(main|subtask|parse)_"
 
@@ -139,6 +141,13 @@ def response_attach(spark, sf_dir):
     return out.select("batch_id", "custom_id", "record_id", "answers")
 
 
+def sync_completion(spark, sf_dir):
+    """Every question asked of the offline completer, its replies parsed by the wire schema."""
+    q = _questions(spark, sf_dir).select(Q.request(Q.custom_id(F.lit("m"), "main", F.col("question_id")), "offline", F.lit("Answer from the sections."), F.col("question_rephrase")).alias("request"))
+    done = complete_requests(q).select("error", F.from_json("response", RESULT).alias("_r"))
+    return done.select("_r.custom_id", F.col("_r.response.status_code").alias("status_code"), F.size("_r.response.body.choices").alias("choices"), "error")
+
+
 def muni_key(spark, sf_dir):
     return P.municipalities(table(spark, sf_dir, "muni_sample"))
 
@@ -194,7 +203,7 @@ def wire_parse(spark, sf_dir):
 
 FUNCTIONS = [
     answer_extract, answer_parse_binary, answer_parse_numeric, answer_needs_llm, tool_json_parse, lot_size_explode, vote_binary, median_numeric, aggregate_dispatch, subtask_clean,
-    prompt_format, request_custom_id, request_json, function_type, subtask_match, background_join, request_tokens, usage_totals, error_capture, batch_pack, response_attach,
+    prompt_format, request_custom_id, request_json, function_type, subtask_match, background_join, request_tokens, usage_totals, error_capture, batch_pack, response_attach, sync_completion,
     muni_key, path_resolve, pair_cross, embedded_semi, pending_anti, embedding_catalogue, tree_lookup, node_split, sample_hash, testing_head, retention_filter, wire_parse,
 ]
 QUERIES = {f.__name__: f for f in FUNCTIONS}
@@ -253,6 +262,7 @@ ORACLES = {
     "batch_pack": """SELECT o_orderkey, tokens, CAST(sum(tokens) OVER w AS BIGINT) <= 250000000 AND count(*) OVER w <= 50000 AS sent FROM (SELECT o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) AS tokens FROM orders) WINDOW w AS (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)""",
     "response_attach": """SELECT batch_id, custom_id, record_id, coalesce(answers, 0) AS answers FROM (SELECT DISTINCT batch_id, custom_id FROM api_request)
       LEFT JOIN (SELECT batch_id, custom_id, min({'a': received_at, 'b': record_id}).b AS record_id, count(DISTINCT record_id) AS answers FROM api_response WHERE response IS NOT NULL GROUP BY 1, 2) USING (batch_id, custom_id)""",
+    "sync_completion": "SELECT 'm_main_' || id AS custom_id, CAST(200 AS INTEGER) AS status_code, CAST(1 AS INTEGER) AS choices, CAST(NULL AS VARCHAR) AS error FROM question",
     "muni_key": _MUNI + "SELECT muni, state, source FROM mu",
     "path_resolve": _MUNI + "SELECT muni, CASE WHEN source IN ('ordinet', 'legalpress', 'codelibrary') THEN 'texts/' || source || '/' || state || '/' || muni || '.json' END AS path FROM mu",
     "pair_cross": _MUNI + "SELECT muni, id AS question_id FROM mu, (SELECT DISTINCT id FROM question)",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strataq.functions.text import strip, token_len
 from strataq.operators import tree as T
+from strataq.providers import embed_texts
 from strataq.session import latest, table
 
 LEAF_COLUMNS = ["chunk_id", "muni", "ord", "tree_path", "name", "part", "has_table", "leaf_text", "ingested_at"]
@@ -83,13 +84,25 @@ def token_lengths(spark, sf_dir):
     return leaves(spark, sf_dir).select("chunk_id", token_len(F.col("leaf_text")).alias("tokens"))
 
 
-FUNCTIONS = [tree_sections, tree_flatten, small_leaf_candidates, empty_drop, leaf_merge_fold, leaf_merge_clean, fixed_stride_split, recursive_split, prepare_text]
+def embed_leaves(spark, sf_dir):
+    """A vector of each prepared leaf, by the default embedder."""
+    prepared = T.prepare_text(leaves(spark, sf_dir).where("leaf_text IS NOT NULL"))
+    return embed_texts(prepared, "chunk_id", "embed_text").select("chunk_id", F.size("vec").alias("width"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v), 6).alias("norm2"))
+
+
+def embed_questions(spark, sf_dir):
+    q = table(spark, sf_dir, "question").select(F.col("id").alias("question_id"), "question_detail")
+    return embed_texts(q, "question_id", "question_detail").select("question_id", F.size("vec").alias("width"))
+
+
+FUNCTIONS = [embed_leaves, embed_questions, tree_sections, tree_flatten, small_leaf_candidates, empty_drop, leaf_merge_fold, leaf_merge_clean, fixed_stride_split, recursive_split, prepare_text]
 QUERIES = {f.__name__: f for f in FUNCTIONS} | {"token_len": token_lengths}
 
 _S = r"[\s\x0B\x1C-\x1F\x{0085}\p{Z}]"
 _STRIP = rf"regexp_replace(regexp_replace(leaf_text, '^{_S}+', ''), '{_S}+$', '')"
 _LEAVES = "WITH l AS (SELECT unnest(m) FROM (SELECT arg_max({'chunk_id': chunk_id, 'tree_path': tree_path, 'name': name, 'has_table': has_table, 'leaf_text': leaf_text}, ingested_at) AS m FROM chunk WHERE chunk_id IS NOT NULL GROUP BY chunk_id)) "
 ORACLES = {
+    "embed_questions": "SELECT id AS question_id, CAST(64 AS INTEGER) AS width FROM question",
     "tree_sections": _LEAVES
     + """SELECT chunk_id AS tree_id, CAST(d AS BIGINT) AS depth, array_to_string(tree_path[1:d - 1], '->') AS path, CASE WHEN d = len(tree_path) + 1 THEN name ELSE tree_path[d] END AS name,
       d = len(tree_path) + 1 AS is_leaf, CASE WHEN d = len(tree_path) + 1 THEN coalesce(has_table, false) ELSE false END AS has_table
