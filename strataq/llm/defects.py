@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.languages import LANGUAGES, best, language_votes
+from strataq.llm.languages import best, language_votes
 
 DEFECTS = ["empty", "truncated", "refusal", "copy", "other_language"]
 BITS = 15
@@ -403,18 +403,50 @@ def id_key(custom_id: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(custom_id, "%(?:23|20|5[fF])", "#")), r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", "")
 
 
-def paired(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """(record_id, choice_index, prompt, content, arguments) of every choice with a request; repeated rows are still in."""
-    users = F.filter("body.messages", lambda m: F.lower(m["role"]) == "user")
-    asked = requests.select("batch_id", id_key(F.col("custom_id")).alias("_key"), "sent_at", F.try_element_at(users, F.lit(-1))["content"].alias("prompt"))
-    asked = asked.groupBy("batch_id", "_key").agg(F.max(F.struct("sent_at", "prompt")).alias("_r")).select("batch_id", "_key", F.col("_r.prompt").alias("prompt"))
-    body = F.col("response.body")
-    got = responses.where("response IS NOT NULL AND record_id IS NOT NULL").select("record_id", "batch_id", id_key(F.col("custom_id")).alias("_key"), F.posexplode(body["choices"]).alias("_pos", "_c"))
+#: A key may be hot if it holds more than one in HOT_KEYS of the rows, so there are fewer than HOT_KEYS hot keys.
+HOT_KEYS, HOT_ROWS = 10_000, 50_000
+KEY = ["batch_id", "_key"]
+
+
+def answered(responses: DataFrame) -> DataFrame:
+    """(batch_id, _key, record_id, choice_index, content, arguments) of every choice of a response."""
+    got = responses.where("response IS NOT NULL AND record_id IS NOT NULL").select("record_id", "batch_id", id_key(F.col("custom_id")).alias("_key"), F.posexplode("response.body.choices").alias("_pos", "_c"))
     call = F.try_element_at(F.filter(F.col("_c.message.tool_calls"), lambda t: t["function"]["arguments"].isNotNull()), F.lit(1))
-    got = got.select(
-        "record_id", "batch_id", "_key", F.coalesce("_c.index", "_pos").cast("long").alias("choice_index"), F.col("_c.message.content").alias("content"), call["function"]["arguments"].alias("arguments")
-    )
-    return got.join(asked, ["batch_id", "_key"]).select("record_id", "choice_index", "prompt", "content", "arguments")
+    index = F.coalesce("_c.index", "_pos").cast("long")
+    return got.select(*KEY, "record_id", index.alias("choice_index"), F.col("_c.message.content").alias("content"), call["function"]["arguments"].alias("arguments"))
+
+
+def asked(requests: DataFrame) -> DataFrame:
+    """(batch_id, _key, prompt): the user's message of each request, the latest where it is repeated."""
+    users = F.filter("body.messages", lambda m: F.lower(m["role"]) == "user")
+    rows = requests.select("batch_id", id_key(F.col("custom_id")).alias("_key"), "sent_at", F.try_element_at(users, F.lit(-1))["content"].alias("prompt"))
+    return rows.groupBy(*KEY).agg(F.max(F.struct("sent_at", "prompt")).alias("_r")).select(*KEY, F.col("_r.prompt").alias("prompt"))
+
+
+def hot_keys(responses: DataFrame, least: int = HOT_ROWS) -> list[tuple[str, str, int]]:
+    """(batch_id, _key, salts) of the keys that hold more than ``least`` rows and more than one in HOT_KEYS of all."""
+    most = max(least, responses.count() // HOT_KEYS)
+    keys = responses.where("response IS NOT NULL").groupBy("batch_id", id_key(F.col("custom_id")).alias("_key")).count().where(F.col("count") > most)
+    return [(r["batch_id"], r["_key"], -(-r["count"] // most)) for r in keys.where("batch_id IS NOT NULL AND _key IS NOT NULL").collect()]
+
+
+def paired(requests: DataFrame, responses: DataFrame, hot: list[tuple[str, str, int]] = ()) -> DataFrame:
+    """(record_id, choice_index, prompt, content, arguments) of every choice with a request; repeated rows are still in.
+
+    Requests are one row per key before they meet the answers. The rows of hot keys meet apart, spread over salts, of which
+    the request gets one copy each; that is fewer than 2 * HOT_KEYS copies in all.
+    """
+    cols = ["record_id", "choice_index", "prompt", "content", "arguments"]
+    got = answered(responses)
+    if not hot:
+        return got.join(asked(requests), KEY).select(cols)
+    keys = requests.sparkSession.createDataFrame(list(hot), "batch_id string, _key string, _salts int")
+    few = F.broadcast(keys)  # fewer than HOT_KEYS rows
+    cold = got.join(few, KEY, "left_anti").join(asked(requests), KEY).select(cols)
+    wanted = requests.withColumn("_key", id_key(F.col("custom_id"))).join(F.broadcast(keys.select(*KEY)), KEY, "left_semi")
+    copies = asked(wanted).join(few, KEY).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    spread = got.join(few, KEY).withColumn("_salt", F.pmod(F.xxhash64("record_id", "choice_index"), F.col("_salts")).cast("int")).drop("_salts")
+    return cold.unionByName(spread.join(copies, [*KEY, "_salt"]).select(cols))
 
 
 def question_of(prompt: str | None) -> str:
@@ -444,8 +476,8 @@ def defective_pairs(requests: DataFrame, responses: DataFrame, sample: int = 200
     """(record_id, choice_index, defect) of every defective pair, each once.
 
     A pair is one choice of a response with its request; responses without a request, failed calls and rows with a null
-    record_id give none. Prompts and answers meet in one shuffled equi-join on (batch_id, custom_id); whole texts are read, in
-    Arrow batches. The classifier is trained on at most ``sample`` pairs and goes to the workers with the function: its
+    record_id give none. Prompts and answers meet in one shuffled equi-join on (batch_id, custom_id), hot keys apart and salted; whole
+    texts are read, in Arrow batches. The classifier is trained on at most ``sample`` pairs and goes to the workers with the function: its
     size is fixed by BITS.
     """
     model = model or train(training_sample(requests, responses, sample), seed)
@@ -460,5 +492,5 @@ def defective_pairs(requests: DataFrame, responses: DataFrame, sample: int = 200
             pdf["defect"] = decide(model, pairs)
             yield pdf.loc[pdf["defect"].notna(), ["record_id", "choice_index", "defect"]]
 
-    found = paired(requests, responses).mapInPandas(run, "record_id bigint, choice_index bigint, defect string")
+    found = paired(requests, responses, hot_keys(responses)).mapInPandas(run, "record_id bigint, choice_index bigint, defect string")
     return found.groupBy("record_id", "choice_index").agg(F.min("defect").alias("defect"))

@@ -87,3 +87,15 @@ def test_pairing_and_whole_run(spark, model):
     assert got == [(1, 0, "empty"), (1, 2, "truncated"), (2, 0, "truncated"), (6, 0, "empty")]
     assert D.defective_pairs(requests.limit(0), responses.limit(0)).count() == 0
     assert len(D.training_sample(requests, responses, 3)) <= 3
+
+
+def test_hot_keys_meet_apart_and_whole(spark):
+    body = lambda p: ("m", [("user", p)])
+    reqs = [("b", f"k_main_{i % 4}", i, body(f"prompt {i % 4}"), None) for i in range(12)]
+    res = [(i, "b", f"K_main_{0 if i % 3 else i % 5}", 1, (([(0, ("assistant", f"a{i}", None), "stop")],),), None) for i in range(90)]
+    requests, responses = spark.createDataFrame(reqs, REQ), spark.createDataFrame(res, RES)
+    hot = D.hot_keys(responses, least=20)
+    assert hot == [("b", "k_main_0", 4)] and D.hot_keys(responses) == []
+    plain = sorted(tuple(r) for r in D.paired(requests, responses).collect())
+    assert plain == sorted(tuple(r) for r in D.paired(requests, responses, hot).collect())
+    assert len(plain) == sum(r[2] in {f"K_main_{i}" for i in range(4)} for r in res)
