@@ -32,11 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder named by spark.checkpoint.dir.
 
-    Only where the session names no folder (tests on one machine) a temporary one is used.
+    Only where a local session names no folder (tests on one machine) a temporary one is used.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strataq-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("a cluster must name a shared folder in spark.checkpoint.dir")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="strataq-"))
     return df.checkpoint(eager)
 
 
