@@ -58,7 +58,10 @@ def score_chunks(chunks: DataFrame, questions: DataFrame, keywords: dict[str, li
         matrix = np.array([v if v is not None and len(v) else [0.0] * width for _, v, _ in part], dtype=np.float64).reshape(len(part), width)
         norm = np.linalg.norm(matrix, axis=1)
         keep = ["muni", "chunk_id", "tokens", "vec", *(["text"] if relevance else [])]
-        have = chunks.select(*keep, *([first_keyword(F.col("text"), words).alias("_p")] if any(words) else []))
+        have = chunks.select(*keep)
+        if any(words):  # lower case is taken once, in a projection of its own
+            low = chunks.select(*keep, F.lower(F.coalesce("text", F.lit(""))).alias("_low"))
+            have = low.select(*keep, first_keyword(F.col("_low"), words).alias("_p"))
 
         def run(batches: Iterator[pd.DataFrame], ids=ids, asked=asked, matrix=matrix, norm=norm, width=width) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -92,9 +95,8 @@ def score_chunks(chunks: DataFrame, questions: DataFrame, keywords: dict[str, li
     return out
 
 
-def first_keyword(text: Column, words: list[list[str]]) -> Column:
-    """For each question the place, from 1, of its first keyword within the text, case aside; -1 if none is."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+def first_keyword(low: Column, words: list[list[str]]) -> Column:
+    """For each question the place, from 1, of its first keyword within a text in lower case; -1 if none is."""
     places = []
     for ks in words:
         place = F.lit(-1)
