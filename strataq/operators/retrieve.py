@@ -2,7 +2,7 @@
 
 All rows move as narrow (question, municipality, chunk) tuples; texts are joined back only for what was selected. Groups of
 one municipality are never gathered whole: statistics are partial aggregates and top-k windows have a group limit, so a
-municipality that holds a third of all chunks costs no more than its partial top-k.
+municipality that holds a third of all chunks costs no more than its partial top-k. Whole orders are sorted over ranges.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataq.functions.text import zscore
+from strataq.session import cut
 
 SCORED = "question_id string, muni string, chunk_id bigint, tokens bigint, cosine double, priority int, relevance double"
 PAIR = ["question_id", "muni"]
@@ -106,11 +107,14 @@ def first_keyword(low: Column, words: list[list[str]]) -> Column:
     return F.array(*places)
 
 
+def _order(by_keyword: bool) -> list[Column]:
+    order = [F.col("cosine").desc(), F.col("chunk_id")]
+    return [F.col("priority").asc_nulls_last(), *order] if by_keyword else order
+
+
 def ranked(scored: DataFrame, k: int, by_keyword: bool = False) -> DataFrame:
     """The first k chunks of each pair with their place: by keyword priority if asked for, then cosine; ties by chunk id."""
-    order = [F.col("cosine").desc(), F.col("chunk_id")]
-    if by_keyword:
-        order = [F.col("priority").asc_nulls_last(), *order]
+    order = _order(by_keyword)
     if k > 1000:  # beyond Spark's own group limit: first the k best of each of 64 salts
         salt = F.pmod(F.xxhash64("chunk_id"), F.lit(64))
         part = F.row_number().over(W.partitionBy(*PAIR, salt).orderBy(*order))
@@ -118,6 +122,24 @@ def ranked(scored: DataFrame, k: int, by_keyword: bool = False) -> DataFrame:
     return scored.withColumn("pos", F.row_number().over(W.partitionBy(*PAIR).orderBy(*order))).where(F.col("pos") <= k)
 
 
+def whole_order(scored: DataFrame, by_keyword: bool = False) -> DataFrame:
+    """All chunks of each pair with their place, in the order of ``ranked``.
+
+    Rows are sorted over ranges of pair and order, so that no task gathers a municipality: the place is the row's number among
+    those of its pair in its range, plus the rows of the pair in the ranges before. Ranges are drawn by sampling, so they and the
+    numbers within are cut off by a checkpoint before they are used twice.
+    """
+    order = [*PAIR, *_order(by_keyword)]
+    rows = cut(scored.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_range", F.shiftright("_at", 33))  # the upper bits number the ranges
+    parts = rows.groupBy(*PAIR, "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    earlier = W.partitionBy(*PAIR).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row per range
+    start = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1
+    parts = parts.select(F.col("question_id").alias("_q"), F.col("muni").alias("_m"), F.col("_range").alias("_r"), start.alias("_start"))
+    same = F.col("question_id").eqNullSafe(F.col("_q")) & F.col("muni").eqNullSafe(F.col("_m")) & (F.col("_range") == F.col("_r"))
+    return rows.join(parts, same).withColumn("place", F.col("_at") + F.col("_start")).drop("_at", "_range", "_q", "_m", "_r", "_start")
+
+
 def cosine_stats(scored: DataFrame) -> DataFrame:
     """Mean and population deviation over all chunks of a pair."""
     return scored.groupBy(*PAIR).agg(F.count("*").alias("chunks"), F.avg("cosine").alias("mean"), F.stddev_pop("cosine").alias("sd"))
@@ -134,19 +156,21 @@ def semantic_rerank(scored: DataFrame, k: int = 50) -> DataFrame:
     return top.withColumn("place", F.row_number().over(over.orderBy(F.desc("combined"), "pos"))).select(*PAIR, "chunk_id", "tokens", "cosine", "relevance", "combined", "place")
 
 
-def rerank(chunks: DataFrame, questions: DataFrame, keywords: dict[str, list[str]], budget: int = 4000, k: int = 50) -> DataFrame:
+def rerank(chunks: DataFrame, questions: DataFrame, keywords: dict[str, list[str]], budget: int | None = None, k: int = 50) -> DataFrame:
     """Each question's way of ranking: ``semantic`` (k best), ``keyword``, or plain cosine for anything else.
 
-    Each way scores its own questions alone. The last two aren't cut at k; as a chunk has at least one token, ``budget`` chunks
-    are all that can ever be selected.
+    Each way scores its own questions alone. The last two give every chunk its place, also one without tokens; only a caller
+    that states a ``budget`` gets no more than so many places.
     """
     kind = F.coalesce(F.lower("rerank_type"), F.lit(""))
     cols = [*PAIR, "chunk_id", "tokens", "place"]
-    some = chunks.where("tokens > 0")
-    plain = ranked(score_chunks(some, questions.where(~kind.isin("semantic", "keyword"))), budget).withColumnRenamed("pos", "place").select(cols)
-    keyed = ranked(score_chunks(some, questions.where(kind == "keyword"), keywords), budget, by_keyword=True).withColumnRenamed("pos", "place").select(cols)
+    plain = score_chunks(chunks, questions.where(~kind.isin("semantic", "keyword")))  # without priorities: the order is that of cosine
+    keyed = score_chunks(chunks, questions.where(kind == "keyword"), keywords)
+    whole = whole_order(plain.unionByName(keyed), by_keyword=True).select(cols)
+    if budget is not None:
+        whole = whole.where(F.col("place") <= budget)
     best = semantic_rerank(score_chunks(chunks, questions.where(kind == "semantic"), relevance=lexical_relevance), k).select(cols)
-    return plain.unionByName(keyed).unionByName(best)
+    return whole.unionByName(best)
 
 
 def within_budget(placed: DataFrame, budget: int = 4000) -> DataFrame:

@@ -81,13 +81,15 @@ def semantic_rerank(spark, sf_dir):
 
 
 def keyword_rerank(spark, sf_dir):
-    rows = R.ranked(_scored(spark, sf_dir, True), K, by_keyword=True)
-    return rows.select("question_id", "muni", "chunk_id", "priority", F.col("pos").cast("long").alias("place"))
+    """The whole order by keyword of every question."""
+    rows = R.whole_order(_scored(spark, sf_dir, True), by_keyword=True)
+    return rows.select("question_id", "muni", "chunk_id", "priority", "place")
 
 
 def rerank_dispatch(spark, sf_dir):
-    rows = R.rerank(chunks(spark, sf_dir), questions(spark, sf_dir), _keywords(spark, sf_dir), BUDGET, K)
-    return rows.where("place <= 10").select("question_id", "muni", "chunk_id", F.col("place").cast("long").alias("place"))  # a top-10 report
+    """The whole order by keyword and by plain cosine; the K best where the question asks for the semantic way."""
+    rows = R.rerank(chunks(spark, sf_dir), questions(spark, sf_dir), _keywords(spark, sf_dir), k=K)
+    return rows.select("question_id", "muni", "chunk_id", F.col("place").cast("long").alias("place"))
 
 
 def budget_prefix(spark, sf_dir):

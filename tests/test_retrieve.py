@@ -90,3 +90,29 @@ def test_dispatch_and_empty_tables(spark):
     assert all(sorted(v) == list(range(1, len(v) + 1)) for v in per.values())
     assert max(len(v) for (k, _), v in per.items() if k == "q0") == 5 and max(len(v) for (k, _), v in per.items() if k == "q2") > 5
     assert R.score_chunks(c.limit(0), q).count() == 0 and R.score_chunks(c, q.limit(0)).count() == 0
+
+
+def test_whole_order_over_many_ranges(spark):
+    chunks, questions, c, q = fixture(spark, n=700)
+    chunks = [("m0" if x[0] == "m1" else x[0], *x[1:]) for x in chunks]  # a hot one spreads over ranges
+    c = spark.createDataFrame(chunks, CHUNK).repartition(5)
+    got = {}
+    for r in R.rerank(c, q, {"q1": ["permit", "parking"]}, k=50).collect():
+        got.setdefault((r["question_id"], r["muni"]), {})[r["place"]] = r["chunk_id"]
+    for k, vec, _, kind in questions[1:]:
+        cos, words = cosines(chunks, vec), ["permit", "parking"] if k == "q1" else []
+        for m in {x[0] for x in chunks}:
+            place = lambda x: next((i for i, w in enumerate(words) if w in (x[4] or "").lower()), len(words))  # noqa: B023, E731
+            want = sorted([x for x in chunks if x[0] == m], key=lambda x: (place(x), -cos[x[1]], x[1]))
+            assert got[k, m] == {i + 1: x[1] for i, x in enumerate(want)}
+    assert all(len(v) == 50 for (k, _), v in got.items() if k == "q0")
+
+
+def test_rerank_queries_leave_no_chunk_out(spark, sf):
+    from strataq.queries import retrieval as Q
+
+    chunks = Q.chunks(spark, sf).count()
+    assert {r["count"] for r in Q.keyword_rerank(spark, sf).groupBy("question_id").count().collect()} == {chunks}
+    semantic = {r["question_id"] for r in Q.questions(spark, sf).where("lower(rerank_type) = 'semantic'").collect()}
+    counts = {r["question_id"]: r["count"] for r in Q.rerank_dispatch(spark, sf).groupBy("question_id").count().collect()}
+    assert len(set(counts) - semantic) > 0 and {n for k, n in counts.items() if k not in semantic} == {chunks}
