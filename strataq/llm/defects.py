@@ -17,9 +17,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataq.functions.text import id_key
 from strataq.llm.languages import best, language_votes
 
 DEFECTS = ["empty", "truncated", "refusal", "copy", "other_language"]
@@ -398,11 +399,6 @@ def decide(model: Model, pairs: list[tuple[list[float], set[int]]]) -> list[str
     return out
 
 
-def id_key(custom_id: Column) -> Column:
-    """custom_id apart from its spelling: percent signs decoded, lower case, one mark for any run of others."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(custom_id, "%(?:23|20|5[fF])", "#")), r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", "")
-
-
 #: A key may be hot if it holds more than one in HOT_KEYS of the rows, so there are fewer than HOT_KEYS hot keys.
 HOT_KEYS, HOT_ROWS = 10_000, 50_000
 KEY = ["batch_id", "_key"]

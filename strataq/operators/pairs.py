@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strataq.functions.text import id_key
 from strataq.operators.prefix import prefix_sums
 
 #: Folders of the three first sources.
@@ -51,11 +52,15 @@ def node_split(munis: DataFrame, nodes: int) -> DataFrame:
 
 
 def attach_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """Every request with its first response by time and id; null where there is none yet."""
-    keys = ["batch_id", "custom_id"]
+    """Every request with its first response by time and id; null where there is none yet.
+
+    custom_id links the two apart from its spelling; of several spellings of a request the least one stands.
+    """
+    keys = ["batch_id", "_key"]
+    requests, responses = (d.withColumn("_key", id_key(F.col("custom_id"))) for d in (requests, responses))
     first = responses.where("response IS NOT NULL").groupBy(*keys).agg(F.min(F.struct("received_at", "record_id")).alias("_f"), F.countDistinct("record_id").alias("answers"))
-    asked = requests.groupBy(*keys).agg(F.min("sent_at").alias("sent_at"))
-    return asked.join(first.select(*keys, "_f.record_id", "_f.received_at", "answers"), keys, "left").fillna({"answers": 0})
+    asked = requests.groupBy(*keys).agg(F.min("custom_id").alias("custom_id"), F.min("sent_at").alias("sent_at"))
+    return asked.join(first.select(*keys, "_f.record_id", "_f.received_at", "answers"), keys, "left").drop("_key").fillna({"answers": 0})
 
 
 def pack_batch(queue: DataFrame, order: str, tokens: str, max_tokens: int, max_requests: int, key: list[str] | None = None) -> DataFrame:

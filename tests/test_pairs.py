@@ -63,6 +63,14 @@ def test_attach_takes_the_first_and_keeps_the_unanswered(spark):
     assert got == {"x": (8, 2), "y": (None, 0)}
 
 
+def test_attach_links_uneven_spellings(spark):
+    req = spark.createDataFrame([("b", "Old Elm#7#tessaly_main_4a", 1), ("b", "Old Elm#7#tessaly_main_4", 2), ("c", "Old Elm#7#tessaly_main_4a", 3)], "batch_id string, custom_id string, sent_at bigint")
+    spelled = ["Old Elm%237%23tessaly_main_4a", "OLD ELM#7#TESSALY_MAIN_4A", " Old Elm#7#tessaly_main_4a ", "Old%20Elm#7#tessaly_main_4a"]
+    res = spark.createDataFrame([("b", s, 9 - i, 5 - i, "r") for i, s in enumerate(spelled)], "batch_id string, custom_id string, record_id bigint, received_at bigint, response string")
+    got = {(r["batch_id"], r["custom_id"]): (r["record_id"], r["answers"]) for r in P.attach_responses(req, res).collect()}
+    assert got == {("b", "Old Elm#7#tessaly_main_4a"): (6, 4), ("b", "Old Elm#7#tessaly_main_4"): (None, 0), ("c", "Old Elm#7#tessaly_main_4a"): (None, 0)}
+
+
 def test_wire_round_trip_and_stream(spark, tmp_path):
     body = lambda i: {"model": "m", "messages": [{"role": "user", "content": f"u {i}"}]}
     reqs = spark.createDataFrame([(json.dumps({"custom_id": f"c{i}", "body": body(i)}),) for i in range(5)] + [("not json",)], "request string")
