@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strataq.functions.text import token_len
+from strataq.functions.text import id_key, token_len
 from strataq.operators import answers as A
 from strataq.operators import pairs as P
 from strataq.operators import requests as Q
@@ -67,10 +68,16 @@ def median_numeric(spark, sf_dir):
     return A.median_answer(_calls(spark, sf_dir).where("question_type = 'Numerical'"), ["question_id"])
 
 
+def _location() -> Column:
+    """The number at the end of custom_id, last if there is none; of equal ones the least record and choice come first."""
+    number = F.regexp_extract(id_key(F.col("custom_id")), "_([0-9]+)$", 1).try_cast("long")
+    return F.struct(F.coalesce(number, F.lit(2**63 - 1)).alias("number"), "record_id", "choice")
+
+
 def aggregate_dispatch(spark, sf_dir):
-    rows = _calls(spark, sf_dir).withColumn("location", F.col("record_id"))
+    rows = _calls(spark, sf_dir).withColumn("location", _location())
     out = A.aggregate_answers(rows, ["question_id"])
-    return out.where("question_type <> 'Lot Size'").select("question_id", "question_type", F.when(F.col("question_type") == "Numerical", F.round(F.col("answer").try_cast("double"), 6).cast("string")).otherwise(F.col("answer")).alias("answer"), "dont_know")
+    return out.select("question_id", "question_type", F.when(F.col("question_type") == "Numerical", F.round(F.col("answer").try_cast("double"), 6).cast("string")).otherwise(F.col("answer")).alias("answer"), "dont_know")
 
 
 def subtask_clean(spark, sf_dir):

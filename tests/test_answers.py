@@ -5,6 +5,7 @@ import pytest
 
 from strataq.operators import answers as A
 from strataq.operators import requests as Q
+from strataq.queries import answers as Q_answers
 from strataq.functions.text import join_keywords, strict_float, strip
 from pyspark.sql import functions as F
 
@@ -49,6 +50,22 @@ def test_dispatch_has_an_error_row_for_other_types(spark):
     assert got == {"a": ("Yes", None), "b": ("4.0", None), "c": ("[1]", None), "d": (None, "unsupported question type"), "e": (None, "unsupported question type")}
 
 
+CALLS = "record_id bigint, custom_id string, response struct<body: struct<choices: array<struct<index: int, message: struct<content: string, tool_calls: array<struct<function: struct<name: string, arguments: string>>>>>>>>"
+
+
+def write_calls(spark, path, calls):
+    rows = [(i, custom_id, (([(0, (None, [((None, f'{{"Dont_Know":false,"Answer":{answer}}}'),)]))],),)) for i, custom_id, answer in calls]
+    spark.createDataFrame(rows, CALLS).write.parquet(f"{path}/api_response.parquet")
+    spark.createDataFrame([("1", "Binary"), ("4a", "Numerical"), ("23", "Lot Size")], "id string, question_type string").write.parquet(f"{path}/question.parquet")
+    return str(path)
+
+
+def test_dispatch_takes_the_first_size_list_by_location(spark, tmp_path):
+    lots = [(1, "Elm#7#tessaly_parse_23_10", "[10]"), (2, "ELM%237#tessaly_parse_23_2 ", "[2]"), (3, "Elm#7#tessaly_parse_23_2", "[3]"), (4, "Elm#7#tessaly_parse_1_0", '"Yes"')]
+    rows = Q_answers.aggregate_dispatch(spark, write_calls(spark, tmp_path, lots)).collect()
+    assert {(r["question_id"], r["question_type"], r["answer"], r["dont_know"]) for r in rows} == {("23", "Lot Size", "[2]", False), ("1", "Binary", "Yes", False)}
+
+
 def test_prompts_requests_and_lookups(spark):
     one = spark.range(1)
     assert one.select(Q.format_prompt(Question=F.lit("q"), Background=F.lit(None).cast("string"), Context=F.lit("c")).alias("p")).first()["p"] == "#Question:\nq\n\n#Context:\nc"
