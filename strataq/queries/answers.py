@@ -17,9 +17,10 @@ KIND = r"_(main|subtask|parse)_"
 
 
 def _choices(spark, sf_dir):
-    rows = table(spark, sf_dir, "api_response").where("response IS NOT NULL").select("record_id", F.lower(F.trim("custom_id")).alias("custom_id"), F.explode("response.body.choices").alias("_c"))
+    rows = table(spark, sf_dir, "api_response").where("response IS NOT NULL").select("record_id", id_key(F.col("custom_id")).alias("custom_id"), F.explode("response.body.choices").alias("_c"))
     qid = F.regexp_extract("custom_id", r"_(?:main|subtask|parse)_([0-9a-z]+)", 1)
-    rows = rows.select("record_id", "custom_id", F.regexp_extract("custom_id", KIND, 1).alias("kind"), qid.alias("question_id"), F.col("_c.index").cast("long").alias("choice"), F.col("_c.message.content").alias("content"),
+    muni = F.regexp_extract("custom_id", r"^(.*?)_(?:main|subtask|parse)_", 1)  # in the spelling of id_key
+    rows = rows.select("record_id", "custom_id", muni.alias("muni"), F.regexp_extract("custom_id", KIND, 1).alias("kind"), qid.alias("question_id"), F.col("_c.index").cast("long").alias("choice"), F.col("_c.message.content").alias("content"),
                        F.try_element_at(F.col("_c.message.tool_calls"), F.lit(1))["function"]["arguments"].alias("arguments"))
     types = table(spark, sf_dir, "question").select(F.col("id").alias("question_id"), "question_type")
     return rows.join(types, "question_id")
@@ -60,24 +61,28 @@ def lot_size_explode(spark, sf_dir):
     return A.districts(_calls(spark, sf_dir).where("question_type = 'Lot Size' AND valid"), ["record_id", "choice"])
 
 
+#: What is aggregated: the parsed responses of one municipality to one question.
+PAIR = ["muni", "question_id"]
+
+
 def vote_binary(spark, sf_dir):
-    return A.vote(_calls(spark, sf_dir).where("question_type = 'Binary'"), ["question_id"])
+    return A.vote(_calls(spark, sf_dir).where("question_type = 'Binary'"), PAIR)
 
 
 def median_numeric(spark, sf_dir):
-    return A.median_answer(_calls(spark, sf_dir).where("question_type = 'Numerical'"), ["question_id"])
+    return A.median_answer(_calls(spark, sf_dir).where("question_type = 'Numerical'"), PAIR)
 
 
 def _location() -> Column:
     """The number at the end of custom_id, last if there is none; of equal ones the least record and choice come first."""
-    number = F.regexp_extract(id_key(F.col("custom_id")), "_([0-9]+)$", 1).try_cast("long")
+    number = F.regexp_extract("custom_id", "_([0-9]+)$", 1).try_cast("long")
     return F.struct(F.coalesce(number, F.lit(2**63 - 1)).alias("number"), "record_id", "choice")
 
 
 def aggregate_dispatch(spark, sf_dir):
     rows = _calls(spark, sf_dir).withColumn("location", _location())
-    out = A.aggregate_answers(rows, ["question_id"])
-    return out.select("question_id", "question_type", F.when(F.col("question_type") == "Numerical", F.round(F.col("answer").try_cast("double"), 6).cast("string")).otherwise(F.col("answer")).alias("answer"), "dont_know")
+    out = A.aggregate_answers(rows, PAIR)
+    return out.select(*PAIR, "question_type", F.when(F.col("question_type") == "Numerical", F.round(F.col("answer").try_cast("double"), 6).cast("string")).otherwise(F.col("answer")).alias("answer"), "dont_know")
 
 
 def subtask_clean(spark, sf_dir):

@@ -66,6 +66,20 @@ def test_dispatch_takes_the_first_size_list_by_location(spark, tmp_path):
     assert {(r["question_id"], r["question_type"], r["answer"], r["dont_know"]) for r in rows} == {("23", "Lot Size", "[2]", False), ("1", "Binary", "Yes", False)}
 
 
+def test_aggregates_are_those_of_a_pair(spark, tmp_path):
+    a, b = ["Old Elm#7#north alder", "OLD%20ELM%237#north alder"], ["Ash#8#tessaly"] * 2
+    binary = [(a[0], '"Yes"'), (a[1], '"Yes"'), (a[0], '"No"'), (b[0], '"No"'), (b[1], '"Yes"')]
+    numbers = [(a[0], 1), (a[1], 4), (b[0], 9), (b[0], 10), (b[1], 40)]
+    lots = [(b[0], "[8]"), (a[1], "[7]"), (a[0], "[6]")]
+    calls = [(m, q, i, x) for q, xs in (("1", binary), ("4a", numbers), ("23", lots)) for i, (m, x) in enumerate(xs)]
+    d = write_calls(spark, tmp_path, [(n, f"{m}_parse_{q}_{i}", x) for n, (m, q, i, x) in enumerate(calls)])
+    elm, ash = "old_elm_7_north_alder", "ash_8_tessaly"
+    assert {tuple(r) for r in Q_answers.vote_binary(spark, d).collect()} == {(elm, "1", 2, 1, "Yes", False), (ash, "1", 1, 1, None, True)}
+    assert {tuple(r) for r in Q_answers.median_numeric(spark, d).collect()} == {(elm, "4a", 2, 2.5, False), (ash, "4a", 3, 10.0, False)}
+    got = {(r["muni"], r["question_id"]): (r["answer"], r["dont_know"]) for r in Q_answers.aggregate_dispatch(spark, d).collect()}
+    assert got == {(elm, "1"): ("Yes", False), (ash, "1"): (None, True), (elm, "4a"): ("2.5", False), (ash, "4a"): ("10.0", False), (elm, "23"): ("[7]", False), (ash, "23"): ("[8]", False)}
+
+
 def test_prompts_requests_and_lookups(spark):
     one = spark.range(1)
     assert one.select(Q.format_prompt(Question=F.lit("q"), Background=F.lit(None).cast("string"), Context=F.lit("c")).alias("p")).first()["p"] == "#Question:\nq\n\n#Context:\nc"
