@@ -1,8 +1,8 @@
-"""Retrieval queries. Every document is a chunk of its municipality; its vector is the one numbered by its id modulo 500."""
+"""Retrieval queries. Every document is a chunk of its municipality; its vector is the one numbered by its id modulo the number of vectors."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.functions.text import join_keywords, token_len, zscore
@@ -14,17 +14,21 @@ BUDGET, K = 4000, 50
 KEYWORDS = ["parking lot", "building permit"]
 
 
+def with_vector(spark: SparkSession, sf_dir: str, rows: DataFrame, number: Column) -> DataFrame:
+    """Append ``vec``: the vector numbered by ``number`` modulo the number of vectors, null if that one is missing."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_v"), F.col("embedding").alias("vec"))
+    return rows.withColumn("_v", F.pmod(number.cast("long"), F.lit(max(1, vectors.count())))).join(vectors, "_v", "left").drop("_v")
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL AND muni IS NOT NULL").select("doc_id", "muni", "text")
-    vectors = table(spark, sf_dir, "embeddings").where("vec_id < 500").select(F.col("vec_id").alias("_v"), F.col("embedding").alias("vec"))  # 500 rows at every scale
-    rows = docs.withColumn("_v", F.pmod("doc_id", F.lit(500))).join(F.broadcast(vectors), "_v")
-    return rows.select(F.col("doc_id").alias("chunk_id"), "muni", "text", token_len(F.col("text")).alias("tokens"), "vec")
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL AND muni IS NOT NULL")
+    docs = docs.select(F.col("doc_id").alias("chunk_id"), "muni", "text", token_len(F.col("text")).alias("tokens"))
+    return with_vector(spark, sf_dir, docs, F.col("chunk_id"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "question").select(F.col("id").alias("question_id"), F.col("question_detail").alias("detail"), F.col("question_rephrase").alias("rephrase"), F.col("double_check_context").alias("rerank_type"))
-    vectors = table(spark, sf_dir, "embeddings").where("vec_id < 500").select(F.col("vec_id").alias("_v"), F.col("embedding").alias("vec"))
-    return q.withColumn("_v", F.pmod(F.length("detail"), F.lit(500)).cast("long")).join(F.broadcast(vectors), "_v").drop("_v")
+    return with_vector(spark, sf_dir, q, F.length("detail"))
 
 
 def keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,3 +116,19 @@ def test_rerank_queries_leave_no_chunk_out(spark, sf):
     semantic = {r["question_id"] for r in Q.questions(spark, sf).where("lower(rerank_type) = 'semantic'").collect()}
     counts = {r["question_id"]: r["count"] for r in Q.rerank_dispatch(spark, sf).groupBy("question_id").count().collect()}
     assert len(set(counts) - semantic) > 0 and {n for k, n in counts.items() if k not in semantic} == {chunks}
+
+
+def test_every_vector_is_read_and_every_document_stays(spark, tmp_path):
+    from strataq.queries import retrieval as Q
+
+    ids = [i for i in range(700) if i != 650]  # 699 vectors, and one number without any
+    spark.createDataFrame([(i, [float(i), 1.0]) for i in ids], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    docs = [0, 499, 500, 620, 650, 698, 699, 1000]
+    spark.createDataFrame([(i, "some text", "m") for i in docs], "doc_id bigint, text string, muni string").write.parquet(f"{tmp_path}/documents.parquet")
+    question = [("1", "x" * 600, "x", None), ("2", None, "x", None)]
+    spark.createDataFrame(question, "id string, question_detail string, question_rephrase string, double_check_context string").write.parquet(f"{tmp_path}/question.parquet")
+    got = {r["chunk_id"]: r["vec"] and r["vec"][0] for r in Q.chunks(spark, str(tmp_path)).collect()}
+    assert got == {i: None if i % 699 == 650 else float(i % 699) for i in docs}
+    assert {r["question_id"]: r["vec"] and r["vec"][0] for r in Q.questions(spark, str(tmp_path)).collect()} == {"1": 600.0, "2": None}
+    scores = {(r["question_id"], r["chunk_id"]): r["cosine"] for r in Q.cosine_scores(spark, str(tmp_path)).collect()}
+    assert len(scores) == 16 and scores["1", 650] == -1.0 and scores["2", 0] == -1.0 and scores["1", 500] > 0.9
