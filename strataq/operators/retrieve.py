@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from strataq.functions.text import zscore
 from strataq.session import cut
@@ -42,13 +43,15 @@ def lexical_relevance(queries: list[frozenset[str]], text: str | None) -> list[f
 def score_chunks(chunks: DataFrame, questions: DataFrame, keywords: dict[str, list[str]] | None = None, relevance: Callable[[list[frozenset[str]], str | None], list[float]] | None = None) -> DataFrame:
     """Cosine of every question with every chunk, the place of the first keyword that the chunk contains, and its relevance.
 
-    ``chunks`` is (muni, chunk_id, tokens, vec[, text]), ``questions`` (question_id, vec[, rephrase]). Questions are the stated
+    ``chunks`` is (muni, chunk_id, tokens, vec[, text]), where vec may also be an array of vectors, of which the greatest cosine
+    counts; ``questions`` (question_id, vec[, rephrase]). Questions are the stated
     query set: they are taken in blocks of BLOCK vectors, each multiplied with Arrow batches of chunks in one pass. Without a
     vector the score is -1. Scores are rounded to 9 places, so that equal vectors tie. Each text is read once for all
     questions; relevance is null unless a function for it is given.
     """
     more = [F.col("rephrase")] if relevance else [F.lit(None).cast("string").alias("rephrase")]
     rows = [(r["question_id"], r["vec"], r["rephrase"]) for r in questions.select("question_id", "vec", *more).orderBy("question_id").toLocalIterator()]
+    many = isinstance(chunks.schema["vec"].dataType, ArrayType) and isinstance(chunks.schema["vec"].dataType.elementType, ArrayType)
     out = None
     for start in range(0, max(1, len(rows)), BLOCK):
         part = rows[start : start + BLOCK]
@@ -64,19 +67,27 @@ def score_chunks(chunks: DataFrame, questions: DataFrame, keywords: dict[str, li
             low = chunks.select(*keep, F.lower(F.coalesce("text", F.lit(""))).alias("_low"))
             have = low.select(*keep, first_keyword(F.col("_low"), words).alias("_p"))
 
-        def run(batches: Iterator[pd.DataFrame], ids=ids, asked=asked, matrix=matrix, norm=norm, width=width) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame], ids=ids, asked=asked, matrix=matrix, norm=norm, width=width, many=many) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 n = len(pdf)
                 if not n or not len(ids):
                     continue
-                ok = np.array([v is not None and len(v) == width for v in pdf["vec"]])
-                vecs = np.zeros((n, width))
+                every = pdf["vec"]
+                if many:  # vectors one below the other, each with the row it is of
+                    of = [i for i, vs in enumerate(every) if vs is not None for _ in vs]
+                    every = pd.Series([v for vs in every if vs is not None for v in vs], dtype=object)
+                ok = np.array([v is not None and len(v) == width for v in every], dtype=bool)
+                vecs = np.zeros((len(every), width))
                 if ok.any():
-                    vecs[ok] = np.stack(pdf["vec"][ok].to_numpy()).astype(np.float64)
+                    vecs[ok] = np.stack(every[ok].to_numpy()).astype(np.float64)
                 size = np.linalg.norm(vecs, axis=1)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     score = np.round(np.einsum("nd,qd->nq", vecs, matrix) / size[:, None] / norm[None, :], 9)
                 score[~np.isfinite(score)] = -1.0
+                if many:
+                    best = np.full((n, len(ids)), -1.0)
+                    np.maximum.at(best, np.array(of, dtype=int), score)
+                    score = best
                 k = len(ids)
                 priority = np.concatenate([np.asarray(p, dtype=np.float64) for p in pdf["_p"]]) if "_p" in pdf else np.full(n * k, np.nan)
                 yield pd.DataFrame(

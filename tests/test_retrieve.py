@@ -132,3 +132,17 @@ def test_every_vector_is_read_and_every_document_stays(spark, tmp_path):
     assert {r["question_id"]: r["vec"] and r["vec"][0] for r in Q.questions(spark, str(tmp_path)).collect()} == {"1": 600.0, "2": None}
     scores = {(r["question_id"], r["chunk_id"]): r["cosine"] for r in Q.cosine_scores(spark, str(tmp_path)).collect()}
     assert len(scores) == 16 and scores["1", 650] == -1.0 and scores["2", 0] == -1.0 and scores["1", 500] > 0.9
+
+
+def test_greatest_cosine_of_several_vectors(spark):
+    chunks, questions, _, q = fixture(spark)
+    r = random.Random(3)
+    several = [(m, i, t, None if i % 13 == 0 else [r.choice([[r.gauss(0, 1) for _ in range(4)], None, [0.0] * 4, []]) for _ in range(r.randrange(4))]) for m, i, t, *_ in chunks]
+    c = spark.createDataFrame(several, "muni string, chunk_id bigint, tokens bigint, vec array<array<double>>")
+    got = {(x["question_id"], x["chunk_id"]): x["cosine"] for x in R.score_chunks(c, q).collect()}
+    assert len(got) == len(chunks) * len(questions)
+    for k, vec, *_ in questions:
+        for m, i, t, vs in several:
+            want = max((cosines([(m, 0, t, v, "")], vec)[0] for v in vs or []), default=-1.0)
+            assert abs(got[k, i] - want) < 1e-8
+    assert {x["cosine"] for x in R.score_chunks(c.where("vec IS NULL"), q).collect()} == {-1.0}
