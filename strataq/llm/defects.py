@@ -353,6 +353,11 @@ def _add_languages(x: np.ndarray, ids: np.ndarray, sizes: np.ndarray, spoken: np
     x[:, LANGUAGE_AT + 3] = said < 5
 
 
+def _length(n: np.ndarray) -> np.ndarray:
+    """By what the weights of n n-grams are divided: its root, so that all have unit length together, and its share in long answers."""
+    return np.maximum(np.sqrt(np.maximum(1, n)), n / 20)
+
+
 @dataclass
 class Model:
     """weights: (2**BITS, 5) of the n-grams. dense: (features + 1, 5), the last row being the intercept. thresholds: of the logit."""
@@ -367,7 +372,7 @@ class Model:
         for ids, of, scale in ((c.grams, c.gram_of, GRAM), (c.tails, c.tail_of, TAIL)):
             n = np.bincount(of, minlength=len(out))
             sums = np.stack([np.bincount(of, self.weights[ids, k], minlength=len(out)) for k in range(len(DEFECTS))], axis=1)
-            out = out + scale * sums / np.sqrt(np.maximum(1, n))[:, None]
+            out = out + scale * sums / _length(n)[:, None]
         return out
 
 
@@ -550,7 +555,7 @@ def _fit(c: Coded, y: np.ndarray, use: np.ndarray, epochs: int, languages: Langu
     parts = []
     for ids, of, scale in ((c.grams, c.gram_of, GRAM), (c.tails, c.tail_of, TAIL)):
         size = np.bincount(of, minlength=n)
-        parts.append((ids, of, (scale / np.sqrt(np.maximum(1, size)))[of]))
+        parts.append((ids, of, (scale / _length(size))[of]))
     ids, of, value = (np.concatenate([p[i] for p in parts]) for i in range(3))
     order = np.argsort(of, kind="stable")
     ids, value = ids[order], value[order]
