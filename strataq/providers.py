@@ -10,7 +10,10 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from strataq.functions.text import token_len
 
 
 class Embedder(Protocol):
@@ -23,6 +26,36 @@ class Completer(Protocol):
     def complete(self, request: dict) -> dict: ...
 
 
+class Reranker(Protocol):
+    def relevance(self, pairs: list[tuple[str | None, str | None]]) -> list[float]:
+        """How relevant each text is to its query, in (query, text) order."""
+        ...
+
+
+class Tokenizer(Protocol):
+    def count(self, texts: list[str]) -> list[int]: ...
+
+
+class LexicalReranker:
+    """The share of a query's distinct words that a text holds, case aside."""
+
+    def relevance(self, pairs: list[tuple[str | None, str | None]]) -> list[float]:
+        words = lambda t: {w for w in re.split("[ \n]", (t or "").lower()) if w}
+        return [len(q & words(t)) / len(q) if (q := words(a)) else 0.0 for a, t in pairs]
+
+
+def count_tokens(text: Column, tokenizer: Tokenizer | None = None) -> Column:
+    """Tokens of a text, 0 for null: runs of other characters than space and line feed, counted in the JVM, or what a Tokenizer counts, in Arrow batches."""
+    if tokenizer is None:
+        return token_len(text)
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series(tokenizer.count([t or "" for t in texts]), dtype="int64")
+
+    return count(text)
+
+
 class HashingEmbedder:
     """Unit vectors of signed feature hashes of a text's words; a text without words has a zero vector."""
 
@@ -64,7 +97,7 @@ def embed_texts(rows: DataFrame, key: str, text: str, embedder: Embedder | None
         for pdf in batches:
             yield pd.DataFrame({key: pdf[key], "vec": embedder.embed([t or "" for t in pdf[text]])})
 
-    return rows.select(key, text).mapInPandas(run, f"`{key}` {kind}, vec array<double>")
+    return rows.select(*dict.fromkeys([key, text])).mapInPandas(run, f"`{key}` {kind}, vec array<double>")
 
 
 def complete_requests(requests: DataFrame, completer: Completer | None = None, column: str = "request") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strataq.functions.text import join_keywords, token_len, zscore
 from strataq.operators import retrieve as R
 from strataq.operators.pairs import all_pairs
+from strataq.operators.requests import keywords
 from strataq.session import table
 
 BUDGET, K = 4000, 50
@@ -31,10 +32,19 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_vector(spark, sf_dir, q, F.length("detail"))
 
 
+def keyword_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet of keywords as it is kept by hand: one column per question, rows in order of priority, blanks below the last.
+
+    Here a question's keywords are its words of five letters or more, in their order.
+    """
+    words = F.filter(F.split(F.lower("question_detail"), " "), lambda w: F.length(w) >= 5)
+    long = table(spark, sf_dir, "question").where("id IS NOT NULL").select("id", F.posexplode(words).alias("_p", "keyword"))
+    return long.groupBy((F.col("_p") + 1).cast("int").alias("priority")).pivot("id").agg(F.first("keyword"))
+
+
 def keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words of a question of five letters or more, in their order."""
-    words = F.filter(F.split(F.lower("detail"), " "), lambda w: F.length(w) >= 5)
-    return questions(spark, sf_dir).select("question_id", F.posexplode(words).alias("_p", "keyword")).select("question_id", (F.col("_p") + 1).cast("int").alias("priority"), "keyword")
+    sheet = keyword_sheet(spark, sf_dir)
+    return keywords(sheet, [c for c in sheet.columns if c != "priority"])
 
 
 def _keywords(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
@@ -44,8 +54,17 @@ def _keywords(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
     return out
 
 
-def _scored(spark: SparkSession, sf_dir: str, keywords: bool = False, relevance: bool = False) -> DataFrame:
-    return R.score_chunks(chunks(spark, sf_dir), questions(spark, sf_dir), _keywords(spark, sf_dir) if keywords else None, R.lexical_relevance if relevance else None)
+def _scored(spark: SparkSession, sf_dir: str, keywords: bool = False) -> DataFrame:
+    return R.score_chunks(chunks(spark, sf_dir), questions(spark, sf_dir), _keywords(spark, sf_dir) if keywords else None)
+
+
+def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The K best of every pair by cosine, with the statistics of the pair: one pass."""
+    return R.best_chunks(chunks(spark, sf_dir), questions(spark, sf_dir).drop("rerank_type"), k=K)
+
+
+def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.with_relevance(_best(spark, sf_dir), questions(spark, sf_dir), chunks(spark, sf_dir))
 
 
 def cosine_scores(spark, sf_dir):
@@ -58,30 +77,26 @@ def cosine_sort(spark, sf_dir):
 
 
 def cosine_topk50(spark, sf_dir):
-    return R.ranked(_scored(spark, sf_dir), K).select("question_id", "muni", "chunk_id", "cosine", F.col("pos").cast("long").alias("pos"))
+    return _best(spark, sf_dir).select("question_id", "muni", "chunk_id", "cosine", F.col("pos").cast("long").alias("pos"))
 
 
 def cosine_stats(spark, sf_dir):
-    return R.cosine_stats(_scored(spark, sf_dir)).select("question_id", "muni", "chunks", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+    best = _best(spark, sf_dir).where("pos = 1")
+    return best.select("question_id", "muni", "chunks", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
 def zscore_cos_all(spark, sf_dir):
-    scored = _scored(spark, sf_dir)
-    top = R.ranked(scored, K).join(R.cosine_stats(scored), R.PAIR)
     z = zscore(F.col("cosine"), F.col("mean"), F.when(F.col("sd") > 1e-9, F.col("sd")))
-    return top.select("question_id", "muni", "chunk_id", F.round(z, 5).alias("z"))
+    return _best(spark, sf_dir).select("question_id", "muni", "chunk_id", F.round(z, 5).alias("z"))
 
 
 def lexical_rerank(spark, sf_dir):
-    return R.ranked(_scored(spark, sf_dir, relevance=True), K).select("question_id", "muni", "chunk_id", F.round("relevance", 6).alias("relevance"))
-
-
-def _semantic(spark, sf_dir):
-    return R.semantic_rerank(_scored(spark, sf_dir, relevance=True), K)
+    return _relevant(spark, sf_dir).select("question_id", "muni", "chunk_id", F.round("relevance", 6).alias("relevance"))
 
 
 def semantic_rerank(spark, sf_dir):
-    return _semantic(spark, sf_dir).select("question_id", "muni", "chunk_id", F.col("place").cast("long").alias("place"))
+    rows = R.semantic_rerank(_relevant(spark, sf_dir))
+    return rows.select("question_id", "muni", "chunk_id", F.col("place").cast("long").alias("place"))
 
 
 def keyword_rerank(spark, sf_dir):
@@ -97,7 +112,7 @@ def rerank_dispatch(spark, sf_dir):
 
 
 def budget_prefix(spark, sf_dir):
-    rows = R.within_budget(R.ranked(_scored(spark, sf_dir), K).withColumnRenamed("pos", "place"), BUDGET)
+    rows = R.within_budget(_best(spark, sf_dir).withColumnRenamed("pos", "place"), BUDGET)
     return rows.select("question_id", "muni", "chunk_id", "tokens", "running")
 
 
@@ -109,12 +124,17 @@ def _contexts(spark, sf_dir, placed):
 
 
 def context_concat(spark, sf_dir):
-    return _contexts(spark, sf_dir, R.ranked(_scored(spark, sf_dir), K).withColumnRenamed("pos", "place"))
+    return _contexts(spark, sf_dir, _best(spark, sf_dir).withColumnRenamed("pos", "place"))
 
 
 def ctx_build(spark, sf_dir):
-    """The whole retrieval: cosine, rerank, budget, context."""
-    return _contexts(spark, sf_dir, _semantic(spark, sf_dir))
+    """The whole retrieval of a first answer: cosine, semantic rerank, budget, context."""
+    return _contexts(spark, sf_dir, R.semantic_rerank(_relevant(spark, sf_dir)))
+
+
+def ctx_double_check(spark, sf_dir):
+    """The whole retrieval of a double check: each question by its own way of ranking."""
+    return _contexts(spark, sf_dir, R.rerank_best(chunks(spark, sf_dir), questions(spark, sf_dir), _keywords(spark, sf_dir), K, BUDGET))
 
 
 def keyword_unpivot(spark, sf_dir):
@@ -126,20 +146,23 @@ def keyword_normalise(spark, sf_dir):
 
 
 def question_vector_lookup(spark, sf_dir):
-    """Of questions of one length the last by id keeps its vector."""
-    q = questions(spark, sf_dir).select(F.length("detail").cast("string").alias("k"), "question_id", "vec")
-    return R.last_vector(q, "k", "question_id", "vec").select("k", F.round(F.col("vec")[0].cast("double"), 6).alias("first"))
+    """Each question's vector from the store, which lacks every question that isn't Binary, else from the embedder. Of equal texts in the store the last by id counts."""
+    kinds = table(spark, sf_dir, "question").select(F.col("id").alias("question_id"), F.col("question_type").alias("kind"))
+    asked = questions(spark, sf_dir).join(kinds, "question_id")
+    store = R.last_vector(asked.where("kind = 'Binary'"), "detail", "question_id", "vec")
+    out = R.look_up_vectors(asked.select("question_id", "detail"), store)
+    return out.select("question_id", "from_store", F.when(F.col("from_store"), F.round(F.col("vec")[0], 6)).alias("first"), F.size("vec").alias("width"))
 
 
 FUNCTIONS = [
     cosine_scores, cosine_sort, cosine_topk50, cosine_stats, zscore_cos_all, lexical_rerank, semantic_rerank, keyword_rerank, rerank_dispatch,
-    budget_prefix, context_concat, ctx_build, keyword_unpivot, keyword_normalise, question_vector_lookup,
+    budget_prefix, context_concat, ctx_build, ctx_double_check, keyword_unpivot, keyword_normalise, question_vector_lookup,
 ]
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
 _BASE = r"""WITH chunks AS (SELECT d.doc_id AS chunk_id, d.muni, d.text, CAST(len(regexp_extract_all(d.text, '[^ \n]+')) AS BIGINT) AS tokens, CAST(e.embedding AS DOUBLE[]) AS vec
-  FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id % 500 WHERE d.text IS NOT NULL AND d.muni IS NOT NULL),
-q AS (SELECT id AS question_id, question_detail AS detail, question_rephrase AS rephrase, double_check_context AS rerank_type, CAST(e.embedding AS DOUBLE[]) AS vec FROM question JOIN embeddings e ON e.vec_id = length(question_detail) % 500),
+  FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id % (SELECT count(*) FROM embeddings) WHERE d.text IS NOT NULL AND d.muni IS NOT NULL),
+q AS (SELECT id AS question_id, question_detail AS detail, question_rephrase AS rephrase, double_check_context AS rerank_type, CAST(e.embedding AS DOUBLE[]) AS vec FROM question JOIN embeddings e ON e.vec_id = length(question_detail) % (SELECT count(*) FROM embeddings)),
 kw AS (SELECT question_id, unnest(ws) AS keyword, CAST(generate_subscripts(ws, 1) AS INTEGER) AS priority FROM (SELECT question_id, list_filter(string_split(lower(detail), ' '), lambda w: length(w) >= 5) AS ws FROM q)),
 scored AS (SELECT q.question_id, c.muni, c.chunk_id, c.tokens, round(list_cosine_similarity(c.vec, q.vec), 9) AS cosine FROM chunks c, q),
 stats AS (SELECT question_id, muni, count(*) AS chunks, avg(cosine) AS mean, stddev_pop(cosine) AS sd FROM scored GROUP BY ALL),
@@ -154,6 +177,11 @@ prio AS (SELECT kw.question_id, c.chunk_id, min(priority) AS priority FROM chunk
 keyed AS (SELECT s.*, p.priority, row_number() OVER (PARTITION BY s.question_id, muni ORDER BY p.priority NULLS LAST, cosine DESC, s.chunk_id) AS place
   FROM scored s LEFT JOIN prio p ON p.question_id = s.question_id AND p.chunk_id = s.chunk_id)
 """
+_DISPATCH = """, plain AS (SELECT *, row_number() OVER (PARTITION BY question_id, muni ORDER BY cosine DESC, chunk_id) AS place FROM scored),
+dispatched AS (SELECT p.question_id, p.muni, chunk_id, tokens, place FROM plain p JOIN q USING (question_id) WHERE rerank_type IS NULL OR lower(rerank_type) NOT IN ('semantic', 'keyword')
+  UNION ALL SELECT k.question_id, k.muni, chunk_id, tokens, place FROM keyed k JOIN q USING (question_id) WHERE lower(rerank_type) = 'keyword'
+  UNION ALL SELECT s.question_id, s.muni, chunk_id, tokens, place FROM sem s JOIN q USING (question_id) WHERE lower(rerank_type) = 'semantic')
+"""
 _CONTEXT = """, run AS (SELECT *, sum(tokens) OVER (PARTITION BY question_id, muni ORDER BY place ROWS UNBOUNDED PRECEDING) AS running FROM {placed}),
 sel AS (SELECT r.question_id, r.muni, count(*) AS chunks, string_agg('##' || c.text, chr(10) || chr(10) ORDER BY place) AS context FROM run r JOIN chunks c USING (chunk_id) WHERE running <= 4000 GROUP BY ALL)
 SELECT p.question_id, p.muni, CAST(coalesce(s.chunks, 0) AS BIGINT) AS chunks, md5(coalesce(context, '')) AS context_md5 FROM (SELECT DISTINCT question_id, muni FROM scored) p LEFT JOIN sel s ON s.question_id = p.question_id AND s.muni = p.muni"""
@@ -166,18 +194,15 @@ ORACLES = {
     "zscore_cos_all": _BASE + "SELECT t.question_id, t.muni, chunk_id, round(CASE WHEN sd > 1e-9 THEN (cosine - mean) / sd ELSE 0 END, 5) AS z FROM top t JOIN stats s ON s.question_id = t.question_id AND s.muni = t.muni",
     "lexical_rerank": _BASE + "SELECT question_id, muni, chunk_id, round(relevance, 6) AS relevance FROM rel",
     "semantic_rerank": _BASE + "SELECT question_id, muni, chunk_id, place FROM sem",
-    "keyword_rerank": _BASE + "SELECT question_id, muni, chunk_id, priority, place FROM keyed WHERE place <= 50",
-    "rerank_dispatch": _BASE
-    + """, plain AS (SELECT *, row_number() OVER (PARTITION BY s.question_id, muni ORDER BY cosine DESC, chunk_id) AS place FROM scored s WHERE tokens > 0),
-    keyed2 AS (SELECT k.question_id, k.muni, k.chunk_id, row_number() OVER (PARTITION BY k.question_id, muni ORDER BY priority NULLS LAST, cosine DESC, chunk_id) AS place FROM keyed k WHERE tokens > 0)
-    SELECT question_id, muni, chunk_id, place FROM (
-      SELECT p.question_id, p.muni, chunk_id, place FROM plain p JOIN q USING (question_id) WHERE rerank_type IS NULL OR lower(rerank_type) NOT IN ('semantic', 'keyword')
-      UNION ALL SELECT k.question_id, k.muni, chunk_id, place FROM keyed2 k JOIN q USING (question_id) WHERE lower(rerank_type) = 'keyword'
-      UNION ALL SELECT s.question_id, s.muni, chunk_id, place FROM sem s JOIN q USING (question_id) WHERE lower(rerank_type) = 'semantic') WHERE place <= 10""",
+    "keyword_rerank": _BASE + "SELECT question_id, muni, chunk_id, priority, place FROM keyed",
+    "rerank_dispatch": _BASE + _DISPATCH + "SELECT question_id, muni, chunk_id, place FROM dispatched",
     "budget_prefix": _BASE + ", run AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY question_id, muni ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM top) SELECT question_id, muni, chunk_id, tokens, running FROM run WHERE running <= 4000",
     "context_concat": _BASE + _CONTEXT.format(placed="(SELECT *, pos AS place FROM top)"),
     "ctx_build": _BASE + _CONTEXT.format(placed="sem"),
+    "ctx_double_check": _BASE + _DISPATCH + _CONTEXT.format(placed="dispatched"),
     "keyword_unpivot": _BASE + "SELECT question_id, priority, keyword FROM kw",
     "keyword_normalise": f"SELECT doc_id, replace(lower(replace(lower(translate(text, '{_PUNCTUATION}', '{' ' * 32}')), 'parking lot', 'parking_lot')), 'building permit', 'building_permit') AS text FROM documents",
-    "question_vector_lookup": _BASE + "SELECT CAST(length(detail) AS VARCHAR) AS k, round(arg_max(vec, question_id)[1], 6) AS first FROM q GROUP BY 1",
+    "question_vector_lookup": """SELECT id AS question_id, s.detail IS NOT NULL AS from_store, round(CAST(e.embedding[1] AS DOUBLE), 6) AS first, CAST(64 AS INTEGER) AS width FROM question
+      LEFT JOIN (SELECT DISTINCT question_detail AS detail FROM question WHERE question_type = 'Binary' AND question_detail IS NOT NULL) s ON s.detail = question_detail
+      LEFT JOIN embeddings e ON s.detail IS NOT NULL AND e.vec_id = length(question_detail) % (SELECT count(*) FROM embeddings)""",
 }

@@ -1,8 +1,11 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from strataq.operators import retrieve as R
+from strataq.providers import LexicalReranker
 
 CHUNK = "muni string, chunk_id bigint, tokens bigint, vec array<double>, text string"
 
@@ -41,7 +44,7 @@ def test_keyword_rank_against_pulling(spark):
     chunks, questions, c, q = fixture(spark)
     words = ["permit", "parking"]
     scored = R.score_chunks(c, q, {"q1": words})
-    for k in (5, 2000):  # 2000 goes through the salted groups
+    for k in (5, 500):
         got = {}
         for r in R.ranked(scored.where("question_id = 'q1'"), k, by_keyword=True).orderBy("pos").collect():
             got.setdefault(r["muni"], []).append(r["chunk_id"])
@@ -74,22 +77,96 @@ def test_budget_stops_at_the_first_overflow(spark):
 def test_semantic_rerank_zero_deviation_and_empty_context(spark):
     c = spark.createDataFrame([("m", 1, 3, [1.0, 0.0, 0.0, 0.0], "parking"), ("m", 2, 3, [1.0, 0.0, 0.0, 0.0], "parking")], CHUNK)
     q = spark.createDataFrame([("q", [1.0, 0.0, 0.0, 0.0], "parking", "semantic")], "question_id string, vec array<double>, rephrase string, rerank_type string")
-    out = R.semantic_rerank(R.score_chunks(c, q, relevance=R.lexical_relevance)).orderBy("place").collect()
+    ranked = R.semantic_rerank(R.with_relevance(R.best_chunks(c, q), q, c))
+    out = ranked.orderBy("place").collect()
     assert [(r["chunk_id"], r["combined"]) for r in out] == [(1, 0.0), (2, 0.0)]
     pairs = spark.createDataFrame([("q", "m"), ("q", "none")], "question_id string, muni string")
-    ctx = {r["muni"]: r["context"] for r in R.contexts(R.within_budget(R.semantic_rerank(R.score_chunks(c, q, relevance=R.lexical_relevance)).drop("cosine"), 3), pairs, c).collect()}
+    ctx = {r["muni"]: r["context"] for r in R.contexts(R.within_budget(ranked.drop("cosine"), 3), pairs, c).collect()}
     assert ctx == {"m": "##parking", "none": ""}
 
 
 def test_dispatch_and_empty_tables(spark):
     chunks, questions, c, q = fixture(spark)
-    out = R.rerank(c, q, {"q1": ["parking"]}, budget=30, k=5).collect()
+    out = R.rerank(c, q, {"q1": ["parking"]}, k=5).collect()
     per = {}
     for r in out:
         per.setdefault((r["question_id"], r["muni"]), []).append(r["place"])
     assert all(sorted(v) == list(range(1, len(v) + 1)) for v in per.values())
     assert max(len(v) for (k, _), v in per.items() if k == "q0") == 5 and max(len(v) for (k, _), v in per.items() if k == "q2") > 5
     assert R.score_chunks(c.limit(0), q).count() == 0 and R.score_chunks(c, q.limit(0)).count() == 0
+    assert R.best_chunks(c.limit(0), q).count() == 0 and R.best_chunks(c, q.limit(0)).count() == 0
+
+
+def wanted(chunks, questions, words, budget, k):
+    """What each pair may select, by brute force: (question, municipality) -> chunk ids in order."""
+    out = {}
+    for name, vec, _, kind in questions:
+        cos = cosines(chunks, vec)
+        mine = words.get(name, []) if kind == "keyword" else []
+        place = lambda x: next((i for i, w in enumerate(mine) if w in (x[4] or "").lower()), len(mine))  # noqa: B023, E731
+        for m in {x[0] for x in chunks}:
+            order = sorted([x for x in chunks if x[0] == m], key=lambda x: (place(x), -cos[x[1]], x[1]))
+            if kind == "semantic":
+                order = order[:k]
+            total, got = 0, []
+            for x in order:
+                total += x[2]
+                if total > budget and kind != "semantic":
+                    break
+                got.append(x[1])
+            out[name, m] = got
+    return out
+
+
+@pytest.mark.parametrize("held", [8, 4096])
+def test_one_pass_keeps_all_that_can_be_selected(spark, monkeypatch, held):
+    monkeypatch.setattr(R, "HELD", held)  # pruned often, or never
+    chunks, questions, c, q = fixture(spark, n=400, seed=9)
+    words = {"q1": ["permit", "parking"], "q3": ["fence"]}
+    for parts in (1, 6):
+        best = R.best_chunks(c.repartition(parts), q, words, k=7, budget=60)
+        want = wanted(chunks, questions, words, 60, 7)
+        got = {}
+        for r in R.within_budget(best.withColumnRenamed("pos", "place"), 60).collect():
+            got.setdefault((r["question_id"], r["muni"]), {})[r["place"]] = r["chunk_id"]
+        for (name, m), ids in want.items():
+            mine = got.get((name, m), {})
+            if name != "q0":
+                assert [mine[i] for i in sorted(mine)] == ids
+        stats = {(r["question_id"], r["muni"]): (r["chunks"], r["mean"], r["sd"]) for r in best.where("pos = 1").collect()}
+        for name, vec, *_ in questions:
+            cos = cosines(chunks, vec)
+            for m in {x[0] for x in chunks}:
+                xs = [cos[x[1]] for x in chunks if x[0] == m]
+                assert stats[name, m] == pytest.approx((len(xs), np.mean(xs), np.std(xs)))
+        top = R.rerank_best(c.repartition(parts), q, words, k=7, budget=60)
+        n = {(r["question_id"], r["muni"]): r["n"] for r in top.groupBy("question_id", "muni").agg(F.count("*").alias("n")).collect()}
+        assert {n["q0", m] for m in {x[0] for x in chunks}} == {7}
+
+
+def test_equal_cosines_have_no_deviation(spark):
+    c = spark.createDataFrame([("m", i, 1, [0.3, 0.1, 0.7, 0.2], "x") for i in range(300)], CHUNK).repartition(7)
+    q = spark.createDataFrame([("q", [0.2, 0.9, 0.4, 0.1])], "question_id string, vec array<double>")
+    assert {r["sd"] < 1e-12 for r in R.best_chunks(c, q).collect()} == {True}
+
+
+def test_relevance_by_words_and_by_a_reranker(spark):
+    chunks, questions, c, q = fixture(spark)
+    top = R.best_chunks(c, q.drop("rerank_type"), k=9)
+    text = {x[1]: x[4] for x in chunks}
+    a = {(r["question_id"], r["chunk_id"]): r["relevance"] for r in R.with_relevance(top, q, c).collect()}
+    b = {(r["question_id"], r["chunk_id"]): r["relevance"] for r in R.with_relevance(top, q, c, LexicalReranker()).collect()}
+    assert a == b and len(a) == top.count() and a[next(iter(a))] == pytest.approx(len(R.query_words("parking permit") & R.query_words(text[next(iter(a))[1]])) / 2)
+    none = R.with_relevance(top, q.withColumn("rephrase", F.lit(None).cast("string")), c.withColumn("text", F.lit(None).cast("string")))
+    assert {r["relevance"] for r in none.collect()} == {0.0}
+
+
+def test_vectors_from_the_store_or_the_embedder(spark):
+    q = spark.createDataFrame([("1", "a b"), ("2", "a b"), ("3", "c"), ("4", None)], "question_id string, detail string")
+    store = spark.createDataFrame([("c", [1.0, 2.0])], "detail string, vec array<double>")
+    got = {r["question_id"]: (r["from_store"], r["vec"]) for r in R.look_up_vectors(q, store).collect()}
+    assert got["3"] == (True, [1.0, 2.0]) and got["1"] == got["2"] and got["1"][0] is False and len(got["1"][1]) == 64 and got["4"] == (False, None)
+    assert [r["detail"] for r in R.missing_vectors(q, store).collect()] == ["a b"]
 
 
 def test_whole_order_over_many_ranges(spark):
