@@ -1,8 +1,8 @@
 """Nested result lines flattened into related tables (problem 4).
 
 Higher-order functions do all of it: nested ``transform`` calls attach the keys and positions of the ancestors, ``flatten``
-joins the arrays, and one ``inline`` per table emits its rows. Objects that nest to any depth are found by folding over the
-text's quotes and braces, as a fixed schema can't describe them and a map of values would lose their order.
+joins the arrays, and one ``inline`` per table emits its rows. Objects that nest to any depth are found by a fold over the
+text's objects, as a fixed schema can't describe them and a map of values would lose their order.
 """
 
 from __future__ import annotations
@@ -89,66 +89,97 @@ def expand_strings(text: Column) -> Column:
     return let(text, lambda t: F.when(t.contains('\\"'), loop(t)).otherwise(t))
 
 
-def objects_with(key: str, text: Column, texts: bool = True) -> Column:
-    """array<struct<pos, parent_pos, json>> of the objects with a key, in the order in which they begin; json is null without ``texts``.
+#: Set before every object and behind it, so that a text splits into atoms; from the private use area.
+EDGE = "\ue002"
 
-    parent_pos is the position of the nearest enclosing object that has the key, -1 if there is none.
+
+def _plain_key(key: str, text: Column) -> Column:
+    """A key that is spelled with escapes is spelled plainly, wherever it stands before a colon."""
+
+    def piece(parts: Column, p: Column, i: Column) -> Column:
+        plain = F.from_json(F.concat(F.lit('["'), _restored(p), F.lit('"]')), STRINGS)[0]
+        before_colon = F.ltrim(F.coalesce(F.get(parts, i + 1), F.lit(""))).startswith(":")
+        return F.when((i % 2 == 1) & p.contains("\\u") & before_colon & (plain == key), key).otherwise(p)
+
+    def read(t: Column) -> Column:
+        return F.array_join(let(F.split(t, '"'), lambda parts: F.transform(parts, lambda p, i: piece(parts, p, i))), '"')
+
+    return let(text, lambda t: F.when(t.contains("\\u"), read(t)).otherwise(t))
+
+
+def atoms_of(key: str, text: Column) -> Column:
+    """A JSON text cut before every ``{`` and behind every ``}`` outside its strings; empty for what lacks the key or is no JSON.
+
+    Escapes are stand-ins (see ``_guarded``) and strings that hold JSON are expanded, so what is joined again is valid JSON.
     """
-    one = "struct<id:int,above:array<int>,from:int>"
-    state = f"struct<n:int,at:int,open:array<int>,seen:array<{one}>,ends:array<struct<id:int,to:int>>,marks:array<int>>"
-    none = F.struct(
-        F.lit(0).alias("n"), F.lit(1).alias("at"), F.array().cast("array<int>").alias("open"), F.array().cast(f"array<{one}>").alias("seen"),
-        F.array().cast("array<struct<id:int,to:int>>").alias("ends"), F.array().cast("array<int>").alias("marks"),
-    ).cast(state)
-
-    def packed(s: Column, **changed: Column) -> Column:
-        return F.struct(*[changed.get(k, s[k]).alias(k) for k in ("n", "at", "open", "seen", "ends", "marks")]).cast(state)
-
-    def brace(s: Column, b: Column) -> Column:
-        node = F.struct(s["n"].alias("id"), s["open"].alias("above"), b["at"].alias("from"))
-        end = F.struct(F.try_element_at(s["open"], F.lit(-1)).alias("id"), b["at"].alias("to"))
-        opened = packed(s, n=s["n"] + 1, open=F.array_append(s["open"], s["n"]), seen=F.array_append(s["seen"], node.cast(one)))
-        left = F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1)
-        closed = packed(s, open=left, ends=F.array_append(s["ends"], end)) if texts else packed(s, open=left)
-        return F.when(b["c"] == "{", opened).when(F.size(s["open"]) > 0, closed).otherwise(s)
 
     def read(t: Column) -> Column:
-        def with_parts(parts: Column) -> Column:
-            def step(s: Column, i: Column) -> Column:
-                part = parts[i]
-                length = F.length(part)
-                if texts:
-                    marks = F.transform(F.split(part, ""), lambda c, k: F.struct(c.alias("c"), (s["at"] + k).alias("at")))
-                    braces = F.filter(marks, lambda b: b["c"].isin("{", "}"))
-                else:
-                    braces = F.transform(F.regexp_extract_all(part, F.lit("([{}])"), 1), lambda c: F.struct(c.alias("c"), F.lit(0).alias("at")))
-                outside = F.aggregate(braces, s, brace)
-                is_key = (part == key) & F.ltrim(F.coalesce(F.get(parts, i + 1), F.lit(""))).startswith(":") & (F.size(s["open"]) > 0)
-                inside = F.when(is_key, packed(s, marks=F.array_append(s["marks"], F.try_element_at(s["open"], F.lit(-1))))).otherwise(s)
-                moved = F.when(i % 2 == 1, inside).when(part.rlike("[{}]"), outside).otherwise(s)
-                return let(moved, lambda m: packed(m, at=s["at"] + length + 1)) if texts else moved
-
-            def finish(s: Column) -> Column:
-                held = F.filter(s["seen"], lambda o: F.array_contains(s["marks"], o["id"]))
-
-                def row(held: Column, o: Column, pos: Column) -> Column:
-                    parent = F.try_element_at(F.filter(o["above"], lambda a: F.array_contains(s["marks"], a)), F.lit(-1))
-                    to = F.filter(s["ends"], lambda e: e["id"] == o["id"])[0]["to"]
-                    place = F.array_position(F.transform(held, lambda h: h["id"]), F.coalesce(parent, F.lit(-1))) - 1
-                    json = _restored(t.substr(o["from"], to - o["from"] + 1)) if texts else F.lit(None).cast("string")
-                    return F.struct(pos.cast("long").alias("pos"), place.cast("long").alias("parent_pos"), json.alias("json"))
-
-                return let(held, lambda h: F.transform(h, lambda o, pos: row(h, o, pos)))
-
-            return F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1), none, step, finish)
-
-        return let(F.split(t, '"'), with_parts)
-
-    empty = F.array().cast("array<struct<pos:bigint,parent_pos:bigint,json:string>>")
-    return let(
-        expand_strings(text),
-        lambda t: F.when(F.contains(t, F.lit(f'"{key}"')) & is_json(t), F.try_element_at(F.array(let(_guarded(t), read)), F.lit(1))).otherwise(empty),
-    )
+        mark = lambda p: F.replace(F.replace(p, F.lit("{"), F.lit(EDGE + "{")), F.lit("}"), F.lit("}" + EDGE))
+        marked = F.transform(F.split(t, '"'), lambda p, i: F.when(i % 2 == 1, p).otherwise(mark(p)))
+        return F.split(F.array_join(marked, '"'), EDGE)
+
+    empty = F.array().cast(STRINGS)
+    plain = let(_guarded(expand_strings(text)), lambda t: _plain_key(key, t))
+    return let(plain, lambda t: F.when(F.contains(t, F.lit(f'"{key}"')) & is_json(_restored(t)), read(t)).otherwise(empty))
+
+
+def objects_in(key: str, atoms: Column) -> Column:
+    """array<struct<pos, parent_pos, from, to>> of the objects with a key, in the order in which they begin; from and to number atoms.
+
+    parent_pos is the position of the nearest enclosing object that has the key, -1 if there is none. One fold over the atoms with
+    the open objects as its stack, one over what it found: both look at a stack of the depth, never at all objects.
+    """
+    slot = "struct<from:int,has:boolean>"
+    state = f"struct<i:int,open:array<{slot}>,found:string>"
+    is_key = f'"{key}"\\s*:'
+
+    def step(s: Column, x: Column) -> Column:
+        i, opens, closes = s["i"], x.startswith("{"), x.endswith("}")
+        pushed = F.when(opens, F.array_append(s["open"], F.struct(i.alias("from"), F.lit(False).alias("has")).cast(slot))).otherwise(s["open"])
+
+        def within(stack: Column) -> Column:
+            depth = F.size(stack)
+            top = F.get(stack, depth - 1)
+            below = F.slice(stack, F.lit(1), F.greatest(depth - 1, F.lit(0)))
+            has = top["has"] | x.rlike(is_key)
+            kept = F.when(closes | (depth == 0), below).when(has & ~top["has"], F.array_append(below, F.struct(top["from"].alias("from"), has.alias("has")).cast(slot))).otherwise(stack)
+            # What is found is kept as text, "from:to;", as an array would be copied element by element at every step.
+            found = F.when(closes & (depth > 0) & has, F.concat(s["found"], top["from"].cast("string"), F.lit(":"), i.cast("string"), F.lit(";"))).otherwise(s["found"])
+            return F.struct((i + 1).alias("i"), kept.alias("open"), found.alias("found"))
+
+        return let(pushed, within)
+
+    start = F.struct(F.lit(0).alias("i"), F.array().cast(f"array<{slot}>").alias("open"), F.lit("").alias("found")).cast(state)
+
+    def listed(text: Column) -> Column:
+        return F.filter(F.split(text, ";"), lambda x: x != "")
+
+    as_span = lambda x: F.struct(F.substring_index(x, ":", 1).cast("int").alias("from"), F.substring_index(x, ":", -1).cast("int").alias("to"))
+    spans = F.array_sort(F.transform(listed(F.aggregate(atoms, start, step, lambda s: s["found"])), as_span))
+
+    around = "struct<pos:bigint,to:int>"
+    parents = f"struct<n:bigint,around:array<{around}>,parent:string>"
+
+    def nest(s: Column, o: Column) -> Column:
+        def within(left: Column) -> Column:
+            parent = F.coalesce(F.get(left, F.size(left) - 1)["pos"], F.lit(-1).cast("bigint"))
+            mine = F.struct(s["n"].alias("pos"), o["to"].alias("to")).cast(around)
+            return F.struct((s["n"] + 1).alias("n"), F.array_append(left, mine).alias("around"), F.concat(s["parent"], parent.cast("string"), F.lit(";")).alias("parent"))
+
+        return let(F.filter(s["around"], lambda a: a["to"] > o["from"]), within)
+
+    none = F.struct(F.lit(0).cast("bigint").alias("n"), F.array().cast(f"array<{around}>").alias("around"), F.lit("").alias("parent")).cast(parents)
+
+    def numbered(spans: Column) -> Column:
+        above = F.transform(listed(F.aggregate(spans, none, nest, lambda s: s["parent"])), lambda p: p.cast("bigint"))
+        return let(above, lambda ps: F.transform(spans, lambda o, pos: F.struct(pos.cast("bigint").alias("pos"), F.get(ps, pos).alias("parent_pos"), o["from"].alias("from"), o["to"].alias("to"))))
+
+    empty = F.array().cast("array<struct<pos:bigint,parent_pos:bigint,from:int,to:int>>")
+    return F.when(F.size(atoms) > 0, let(spans, numbered)).otherwise(empty)
+
+
+def object_text(atoms: Column, first: Column, last: Column) -> Column:
+    return _restored(F.array_join(F.slice(atoms, first + 1, last - first + 1), ""))
 
 
 def result_lines(lines: DataFrame, line_id: str = "line_id", line: str = "line", read_at: str = "read_at") -> DataFrame:
@@ -196,10 +227,10 @@ def result_lines(lines: DataFrame, line_id: str = "line_id", line: str = "line",
     return one.withColumn("calls", F.flatten(F.transform(F.col("choices"), lambda c: F.transform(members(c["calls"]), lambda x, j: call(c, x, j)))))
 
 
-def flatten_lines(lines: DataFrame, function: str = "answer_question_lot_size_residential", key: str = "district_name", values: bool = True) -> dict[str, DataFrame]:
+def flatten_lines(lines: DataFrame, function: str = "answer_question_lot_size_residential", key: str = "district_name") -> dict[str, DataFrame]:
     """responses, choices, calls and districts, each keyed by line_id and the positions of its ancestors.
 
-    Without ``values`` the table of districts has its keys alone.
+    A district's fields are read from its part of the arguments after its row is emitted, so who selects keys alone pays for keys alone.
     """
     nested = result_lines(lines)
     body = lambda k: F.coalesce(F.col(f"_t.response.body.{k}"), F.col(f"_t.response.{k}"), at(F.col("_b"), k))
@@ -212,18 +243,9 @@ def flatten_lines(lines: DataFrame, function: str = "answer_question_lot_size_re
     choices = nested.select(F.inline("choices")).drop("calls")
     calls = nested.select(F.inline("calls"))
     found = calls.where((F.col("name") == function) & F.col("arguments").isNotNull())
-    found = found.withColumn("_d", objects_with(key, F.col("arguments"), values))
-
-    def district(d: Column) -> Column:
-        if not values:
-            return F.struct(F.col("line_id").alias("line_id"), F.col("choice_pos").alias("choice_pos"), F.col("call_pos").alias("call_pos"), d["pos"].alias("district_pos"), d["parent_pos"].alias("parent_pos"))
-        return let(
-            fields(d["json"]),
-            lambda f: F.struct(
-                F.col("line_id").alias("line_id"), F.col("choice_pos").alias("choice_pos"), F.col("call_pos").alias("call_pos"), d["pos"].alias("district_pos"), d["parent_pos"].alias("parent_pos"),
-                at(f, key).alias(key), at(f, "min_lot_size").alias("min_lot_size"), at(f, "unit").alias("unit"), at(f, "estate").try_cast("boolean").alias("estate"),
-            ),
-        )
-
-    districts = found.select(F.inline(F.transform("_d", district)))
+    found = found.select("line_id", "choice_pos", "call_pos", atoms_of(key, F.col("arguments")).alias("_atoms"))
+    rows = found.select("line_id", "choice_pos", "call_pos", "_atoms", F.inline(objects_in(key, F.col("_atoms"))))
+    values = let(fields(object_text(F.col("_atoms"), F.col("from"), F.col("to"))), lambda f: F.struct(at(f, key).alias(key), at(f, "min_lot_size").alias("min_lot_size"), at(f, "unit").alias("unit"), at(f, "estate").try_cast("boolean").alias("estate")))
+    rows = rows.select("line_id", "choice_pos", "call_pos", F.col("pos").alias("district_pos"), "parent_pos", values.alias("_v"))
+    districts = rows.select("line_id", "choice_pos", "call_pos", "district_pos", "parent_pos", "_v.*")
     return {"responses": responses, "choices": choices, "calls": calls, "districts": districts}

@@ -40,7 +40,8 @@ def _nested(name: str):
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flatten_lines(table(spark, sf_dir, "batch_line"), values=False)["districts"].select("line_id", "choice_pos", "call_pos", "district_pos", "parent_pos")
+    """The keys of the table of districts."""
+    return flatten_lines(table(spark, sf_dir, "batch_line"))["districts"].select("line_id", "choice_pos", "call_pos", "district_pos", "parent_pos")
 
 
 QUERIES = {

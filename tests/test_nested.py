@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 from strataq.operators.nested import flatten_lines
 
@@ -138,3 +139,31 @@ def test_district_fields(spark):
     row = json.dumps({"response": {"body": {"choices": [{"index": 4, "message": {"tool_calls": [{"function": {"name": NAME, "arguments": args}}]}}]}}})
     d = flatten_lines(spark.createDataFrame([(1, "b", None, row)], SCHEMA))["districts"].first()
     assert (d["district_name"], d["min_lot_size"], d["unit"], d["estate"]) == ('R "1"', '{"value":2}', "Acres", True)
+
+
+def one_call(arguments):
+    return json.dumps({"response": {"body": {"choices": [{"index": 0, "message": {"tool_calls": [{"function": {"name": NAME, "arguments": arguments}}]}}]}}})
+
+
+def test_escaped_keys_and_keys_in_strings(spark):
+    args = '{"Answer":[{"district\\u005fname":"A"},{"a":{"\\u0064istrict_name" : 1, "v":[{"district_name":"x \\u007b \\"district_name\\": {"}]},"note":"district_name"},{"b":"\\"district_name\\": 1"}]}'
+    assert json.loads(args)["Answer"][0] == {"district_name": "A"}
+    rows = [(1, "b", None, one_call(args))]
+    got = sorted(tuple(x)[:6] for x in flatten_lines(spark.createDataFrame(rows, SCHEMA))["districts"].collect())
+    assert {g[:5] for g in got} == brute([(1, rows[0][3])]) and [g[4] for g in got] == [-1, -1, 1]
+    assert [g[5] for g in got] == ["A", "1", 'x { "district_name": {']
+
+
+def test_many_districts_of_one_call(spark):
+    def seconds(n):
+        args = json.dumps({"Answer": [{"district_name": f"R-{i}", "min_lot_size": i, "variants": [{"district_name": "v"}] if i % 7 == 0 else []} for i in range(n)]})
+        lines = spark.createDataFrame([(1, "b", None, one_call(args))], SCHEMA)
+        best = 9e9
+        for _ in range(2):
+            began = time.time()
+            rows = flatten_lines(lines)["districts"].collect()
+            best = min(best, time.time() - began)
+        assert len(rows) == n + -(-n // 7) and sum(r["parent_pos"] >= 0 for r in rows) == -(-n // 7)
+        return best
+
+    assert seconds(2000) < 3 * seconds(1000) + 1  # no square of the districts
