@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +12,11 @@ from pyspark.sql import functions as F
 
 from strataq.functions.text import strip, token_len, tokens
 
-SECTIONS = "tree_id bigint, ord array<int>, tree_path array<string>, name string, is_leaf boolean, leaf_text string, has_table boolean"
+SECTIONS = "tree_id string, ord array<int>, tree_path array<string>, name string, is_leaf boolean, leaf_text string, has_table boolean"
+
+
+class Node(list):
+    """A JSON object as its (key, value) pairs: sections of one name stand beside each other, and none is lost."""
 
 
 def walk(tree: object) -> Iterator[tuple]:
@@ -19,21 +24,22 @@ def walk(tree: object) -> Iterator[tuple]:
     stack: list[tuple] = [((0,), (), "Root", tree)]
     while stack:
         at, path, name, node = stack.pop()
-        if not isinstance(node, dict):
+        if not isinstance(node, Node):
             continue
-        if "Leaf_Text" in node:
-            text = node["Leaf_Text"]
-            yield at, path, name, True, None if text is None else str(text), bool(node.get("Has_Table", False))
+        fields = dict(node)
+        if "Leaf_Text" in fields:
+            text = fields["Leaf_Text"]
+            yield at, path, name, True, None if text is None else str(text), bool(fields.get("Has_Table", False))
             continue
         yield at, path, name, False, None, False
-        inner = [(k, v) for k, v in node.items() if isinstance(v, dict)]
+        inner = [(k, v) for k, v in node if isinstance(v, Node)]
         stack.extend(reversed([((*at, i), (*path, name), k, v) for i, (k, v) in enumerate(inner)]))
 
 
 def tree_sections(trees: DataFrame) -> DataFrame:
     """(tree_id, tree_json) to one row per node. Text that is no JSON object gives no rows; scalar values are dropped.
 
-    Paths hold the ancestors' names without the node's own; ``ord`` holds sibling ordinals from the root and sorts in order.
+    Paths hold the ancestors' names without the node's own; sections of one name stay apart; ``ord`` holds sibling ordinals from the root and sorts in order.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -41,7 +47,7 @@ def tree_sections(trees: DataFrame) -> DataFrame:
             rows = []
             for i, text in zip(pdf["tree_id"], pdf["tree_json"], strict=True):
                 try:
-                    tree = json.loads(text) if text else None
+                    tree = json.loads(text, object_pairs_hook=Node) if text else None
                 except (ValueError, RecursionError):
                     tree = None
                 rows += [(i, list(a), list(p), n, leaf, t, h) for a, p, n, leaf, t, h in walk(tree)]
@@ -50,6 +56,36 @@ def tree_sections(trees: DataFrame) -> DataFrame:
     return trees.select("tree_id", "tree_json").mapInPandas(run, SECTIONS)
 
 
+def quoted(name: Column) -> Column:
+    """A name as a JSON string."""
+    whole = F.to_json(F.array(F.coalesce(name, F.lit(""))))
+    return whole.substr(F.lit(2), F.length(whole) - 2)
+
+
+def assemble_trees(leaves: DataFrame) -> DataFrame:
+    """(tree_id, tree_json) from leaves (tree_id, ord, tree_path, name, leaf_text, has_table), one tree per tree_id, siblings by ``ord``.
+
+    ``tree_path`` names the ancestors and ``ord`` numbers the node and each of them among its siblings, the root first. Level by
+    level, from the greatest length of ord up, siblings are joined into their parent, so a task holds the children of one section; a
+    tree is one text, as one file is. Leaves without an ord, a path or a fitting number of either are left out.
+    """
+    leaf = F.to_json(F.struct(F.col("leaf_text").alias("Leaf_Text"), F.coalesce("has_table", F.lit(False)).alias("Has_Table")), {"ignoreNullFields": "false"})
+    rows = leaves.where((F.size("ord") == F.size("tree_path") + 1) & (F.size("tree_path") > 0) & F.col("tree_id").isNotNull())
+    rows = rows.select("tree_id", "ord", "tree_path", F.concat(quoted(F.col("name")), F.lit(":"), leaf).alias("member"))
+    deepest = rows.agg(F.max(F.size("ord"))).first()[0] or 1  # of a narrow column
+    for depth in range(deepest, 1, -1):
+        # Of a level above there is nothing to do yet; what is at this level moves into its parent.
+        here, above = rows.where(F.size("ord") == depth), rows.where(F.size("ord") < depth)
+        parent = F.slice("ord", 1, depth - 1)
+        path = F.slice("tree_path", F.lit(1), F.lit(depth - 2))
+        name = F.get("tree_path", F.lit(depth - 2))
+        joined = here.groupBy("tree_id", parent.alias("ord"), path.alias("tree_path"), name.alias("_name")).agg(F.array_sort(F.collect_list(F.struct(F.get("ord", F.lit(depth - 1)).alias("at"), "member"))).alias("_m"))
+        inner = F.concat(F.lit("{"), F.array_join(F.transform("_m", lambda m: m["member"]), ","), F.lit("}"))
+        member = inner if depth == 2 else F.concat(quoted(F.col("_name")), F.lit(":"), inner)
+        rows = above.unionByName(joined.select("tree_id", "ord", "tree_path", member.alias("member")))
+    return rows.groupBy("tree_id").agg(F.max("member").alias("tree_json"))
+
+
 def flatten_leaves(sections: DataFrame) -> DataFrame:
     return sections.where("is_leaf").select("tree_id", "ord", "name", "leaf_text")
 
@@ -112,6 +148,61 @@ def merge_leaves(leaves: Column, least: int = 200, reference: bool = False) -> C
     return F.transform(F.transform(F.array(leaves), fold)[0], lambda o: F.struct(o["name"].alias("name"), o["text"].alias("text"), o["has_table"].alias("has_table")))
 
 
+def merge_tree(sections: DataFrame, least: int = 200, reference: bool = False) -> DataFrame:
+    """Small leaves of whole trees merged, siblings by siblings: (tree_id, parent, pos, name, leaf_text, has_table, is_leaf).
+
+    ``sections`` is what ``tree_sections`` gives; ``parent`` is the ord of the parent and pos the new place among its children. A
+    merge never makes a leaf a branch or the other way round, so every list of siblings is folded on its own and a task holds the
+    children of one section. With ``reference`` a branch that moves up in a changed list is not looked at, and so nothing below
+    it is merged or dropped; below, ``merge_leaves`` says what else that mode does.
+    """
+    parent = F.slice("ord", F.lit(1), F.size("ord") - 1)
+    item = F.struct(F.element_at("ord", -1).alias("at"), "name", F.when(F.col("is_leaf"), F.coalesce("leaf_text", F.lit(""))).alias("text"), "has_table", "ord")
+    lists = sections.where(F.size("ord") > 1).groupBy("tree_id", parent.alias("parent")).agg(F.array_sort(F.collect_list(item)).alias("_l"))
+    plain = F.transform("_l", lambda x: F.struct(x["name"].alias("name"), x["text"].alias("text"), x["has_table"].alias("has_table")))
+    merged = merge_leaves(plain, least, reference)
+    if reference:
+        # The branches that are skipped: those that follow a small leaf which was merged into the leaf before it.
+        skipped = F.filter("_l", lambda x, i: x["text"].isNull() & F.array_contains(unvisited(plain, least), i))
+        unseen = lists.select("tree_id", F.explode(skipped).alias("_s")).select(F.col("tree_id").alias("_t"), F.col("_s.ord").alias("_root"))
+        above = F.transform(F.sequence(F.lit(1), F.size("parent")), lambda n: F.slice("parent", F.lit(1), n))
+        roots = lists.select("tree_id", "parent", F.explode(above).alias("_root")).join(unseen.withColumnRenamed("_t", "tree_id"), ["tree_id", "_root"], "left_semi").select("tree_id", "parent").distinct()
+        lists = lists.join(roots.withColumn("_raw", F.lit(True)), ["tree_id", "parent"], "left")
+        merged = F.when(F.coalesce("_raw", F.lit(False)), plain).otherwise(merged)
+    rows = lists.select("tree_id", "parent", F.posexplode(merged).alias("pos", "_m"))
+    return rows.select("tree_id", "parent", F.col("pos").cast("long").alias("pos"), "_m.name", F.col("_m.text").alias("leaf_text"), "_m.has_table", F.col("_m.text").isNotNull().alias("is_leaf"))
+
+
+def unvisited(leaves: Column, least: int = 200) -> Column:
+    """The places of the siblings that the reference's merge doesn't look at: each follows one that was merged."""
+    state = "struct<last:int,skip:boolean,out:array<int>>"
+    length = lambda x: F.when(x["text"].isNotNull(), F.length(x["text"]))
+
+    def fold(xs: Column) -> Column:
+        def step(s: Column, j: Column) -> Column:
+            x, after, there = F.get(xs, j), F.get(xs, j + 1), j + 1 < F.size(xs)
+            n, m, last = length(x), length(after), s["last"]
+            small = n.isNotNull() & (n < least) & (strip(x["text"]) != "")
+            back = small & last.isNotNull() & (m.isNull() | (last <= m))
+            on = small & ~back & m.isNotNull()
+            pack = lambda a, b, c: F.struct(a.cast("int").alias("last"), b.alias("skip"), c.alias("out")).cast(state)
+            no, yes = F.lit(False), F.lit(True)
+            # What stands last afterwards: the sibling that moved up, or the one that was merged into.
+            moved = F.when(there, m).otherwise(last + n + F.length(x["name"]) + 3)
+            return (
+                F.when(s["skip"], pack(last, no, s["out"]))
+                .when(back, pack(moved, there, F.when(there, F.array_append(s["out"], j + 1)).otherwise(s["out"])))
+                .when(on, pack(n + m + F.length(after["name"]) + 3, yes, F.array_append(s["out"], j + 1)))
+                .otherwise(pack(n, no, s["out"]))
+            )
+
+        start = F.struct(F.lit(None).cast("int").alias("last"), F.lit(False).alias("skip"), F.array().cast("array<int>").alias("out")).cast(state)
+        done = F.aggregate(F.sequence(F.lit(0), F.size(xs) - 1), start, step, lambda s: s["out"])
+        return F.when(F.size(xs) > 0, done).otherwise(F.array().cast("array<int>"))
+
+    return F.transform(F.array(leaves), fold)[0]
+
+
 def stride_split(text: Column, size: int = 1000, overlap: int = 200) -> Column:
     """array<struct<part, tokens, text>> of windows of ``size`` tokens, each ``overlap`` into the one before; one part 0 if it fits."""
     step = size - overlap
@@ -129,49 +220,69 @@ def stride_split(text: Column, size: int = 1000, overlap: int = 200) -> Column:
     return F.transform(F.array(tokens(text)), windows)[0]
 
 
-def recursive_split(text: str, size: int = 1000, overlap: int = 200, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
-    """Parts of at most ``size`` tokens, cut at the coarsest separator that does; up to ``overlap`` tokens are repeated."""
+SEPARATORS = ("\n\n", "\n", " ")
+
 
-    def count(s: str) -> int:
-        return len([w for line in s.split("\n") for w in line.split(" ") if w])
+def recursive_spans(text: str, size: int = 1000, overlap: int = 200, separators: tuple[str, ...] = SEPARATORS) -> list[tuple[int, int, int]]:
+    """(start, end, shared) of parts of at most ``size`` tokens, cut at the coarsest separator that does; every piece keeps its own.
 
-    def pieces(s: str, k: int) -> list[str]:
-        if count(s) <= size:
-            return [s]
-        while k < len(separators) - 1 and separators[k] not in s:
+    ``shared`` is how many characters at the start repeat the end of the part before, up to ``overlap`` tokens; without them the
+    parts are the text, whole. A single token is never cut, whatever its length.
+    """
+
+    def count(a: int, b: int) -> int:
+        return sum(1 for _ in TOKEN.finditer(text, a, b))
+
+    def pieces(a: int, b: int, k: int) -> Iterator[tuple[int, int]]:
+        while k < len(separators) and text.find(separators[k], a, b) < 0:
             k += 1
-        if separators[k] == "":
-            return [s]  # one token can't be cut
-        return [p for x in s.split(separators[k]) for p in (pieces(x, k + 1) if count(x) > size else [x])]
-
-    parts = [p for p in pieces(text, 0) if count(p)]
-    out: list[str] = []
-    window: list[str] = []
-    held = 0
-    for p in parts:
-        n = count(p)
+        if k == len(separators) or count(a, b) <= size:
+            yield a, b
+            return
+        while a < b:  # up to and including each separator
+            at = text.find(separators[k], a, b)
+            end = b if at < 0 else at + len(separators[k])
+            yield from pieces(a, end, k + 1)
+            a = end
+
+    out: list[tuple[int, int, int]] = []
+    window: list[tuple[int, int, int]] = []
+    held, done = 0, 0
+    for a, b in pieces(0, len(text), 0):
+        n = count(a, b)
         if window and held + n > size:
-            out.append("\n".join(window))
+            out.append((window[0][0], window[-1][1], done - window[0][0]))
+            done = window[-1][1]
             while window and (held > overlap or held + n > size):
-                held -= count(window.pop(0))
-        window.append(p)
+                held -= window.pop(0)[2]
+        window.append((a, b, n))
         held += n
-    if window:
-        out.append("\n".join(window))
+    if window and held:
+        out.append((window[0][0], window[-1][1], done - window[0][0]))
+    elif window and out:  # nothing but separators is left: they end the last part
+        first, _, shared = out[-1]
+        out[-1] = (first, window[-1][1], shared)
     return out
 
 
+TOKEN = re.compile(r"[^ \n]+")
+
+
+def recursive_split(text: str, size: int = 1000, overlap: int = 200, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    return [text[a:b] for a, b, _ in recursive_spans(text, size, overlap, separators)]
+
+
 def split_recursively(leaves: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
-    """(chunk_id, part, tokens, leaf_text); long leaves only go to Python, the others stay whole as part 0."""
+    """(chunk_id, part, shared, tokens, leaf_text); long leaves only go to Python, the others stay whole as part 0. Null texts give no rows."""
     rows = leaves.select("chunk_id", "leaf_text").where("leaf_text IS NOT NULL").withColumn("_n", token_len(F.col("leaf_text")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(i, k + 1, p) for i, t in zip(pdf["chunk_id"], pdf["leaf_text"], strict=True) for k, p in enumerate(recursive_split(t, size, overlap))]
-            yield pd.DataFrame(out, columns=["chunk_id", "part", "leaf_text"])
+            out = [(i, k + 1, s, t[a:b]) for i, t in zip(pdf["chunk_id"], pdf["leaf_text"], strict=True) for k, (a, b, s) in enumerate(recursive_spans(t, size, overlap))]
+            yield pd.DataFrame(out, columns=["chunk_id", "part", "shared", "leaf_text"])
 
-    long = rows.where(F.col("_n") > size).mapInPandas(run, "chunk_id bigint, part int, leaf_text string")
-    short = rows.where(F.col("_n") <= size).select("chunk_id", F.lit(0).alias("part"), "leaf_text")
+    long = rows.where(F.col("_n") > size).mapInPandas(run, "chunk_id bigint, part int, shared int, leaf_text string")
+    short = rows.where(F.col("_n") <= size).select("chunk_id", F.lit(0).alias("part"), F.lit(0).alias("shared"), "leaf_text")
     return long.unionByName(short).withColumn("tokens", token_len(F.col("leaf_text")))
 
 

@@ -17,25 +17,26 @@ def leaves(spark, sf_dir):
 
 
 def trees(spark, sf_dir):
-    """Each leaf's tree as text: its heading below its path."""
-    leaf = F.to_json(F.struct(F.col("leaf_text").alias("Leaf_Text"), F.coalesce("has_table", F.lit(False)).alias("Has_Table")), {"ignoreNullFields": "false"})
-    name = lambda c: F.substring(F.to_json(F.struct(c.alias("x"))), 6, 1_000_000)
-    quoted = lambda c: F.regexp_replace(name(c), r"\}$", "")
-    inner = F.concat(F.lit("{"), quoted(F.col("name")), F.lit(":"), leaf, F.lit("}"))
-    rows = leaves(spark, sf_dir).where("name IS NOT NULL AND size(tree_path) > 0")
-    above = F.slice("tree_path", F.lit(2), F.greatest(F.size("tree_path") - 1, F.lit(0)))
-    nested = F.aggregate(F.reverse(above), inner, lambda s, p: F.concat(F.lit("{"), F.regexp_replace(F.substring(F.to_json(F.struct(p.alias("x"))), 6, 1_000_000), r"\}$", ""), F.lit(":"), s, F.lit("}")))
-    return rows.select(F.col("chunk_id").alias("tree_id"), nested.alias("tree_json"))
+    """One tree per municipality, put together from its leaves: tree_id is the municipality."""
+    rows = leaves(spark, sf_dir).where("muni IS NOT NULL").withColumn("tree_id", F.col("muni"))
+    return T.assemble_trees(rows)
 
 
 def tree_sections(spark, sf_dir):
+    """Every node of every tree, with its place: the numbers of its ancestors and its own among their siblings."""
     s = T.tree_sections(trees(spark, sf_dir))
-    return s.select("tree_id", F.size("ord").cast("long").alias("depth"), F.array_join("tree_path", "->").alias("path"), "name", "is_leaf", "has_table")
+    return s.select("tree_id", F.array_join(F.col("ord").cast("array<string>"), ".").alias("ord"), F.array_join("tree_path", "->").alias("path"), "name", "is_leaf", "has_table")
 
 
 def tree_flatten(spark, sf_dir):
     s = T.flatten_leaves(T.tree_sections(trees(spark, sf_dir)))
-    return s.select("tree_id", "name", "leaf_text", F.array_join(F.col("ord").cast("array<string>"), ".").alias("ord"))
+    return s.select("tree_id", F.array_join(F.col("ord").cast("array<string>"), ".").alias("ord"), "name", F.md5("leaf_text").alias("text_md5"))
+
+
+def tree_merge(spark, sf_dir):
+    """Small leaves merged all over the trees, nothing lost."""
+    m = T.merge_tree(T.tree_sections(trees(spark, sf_dir)))
+    return m.select("tree_id", F.array_join(F.col("parent").cast("array<string>"), ".").alias("parent"), "pos", "name", "is_leaf", F.md5("leaf_text").alias("text_md5"))
 
 
 def small_leaf_candidates(spark, sf_dir):
@@ -72,7 +73,9 @@ def fixed_stride_split(spark, sf_dir):
 
 
 def recursive_split(spark, sf_dir):
-    return T.split_recursively(leaves(spark, sf_dir))
+    """Parts of every leaf; without what they share they are the leaf, whole."""
+    p = T.split_recursively(leaves(spark, sf_dir))
+    return p.select("chunk_id", "part", "shared", "tokens", F.md5("leaf_text").alias("text_md5"))
 
 
 def prepare_text(spark, sf_dir):
@@ -95,19 +98,28 @@ def embed_questions(spark, sf_dir):
     return embed_texts(q, "question_id", "question_detail").select("question_id", F.size("vec").alias("width"))
 
 
-FUNCTIONS = [embed_leaves, embed_questions, tree_sections, tree_flatten, small_leaf_candidates, empty_drop, leaf_merge_fold, leaf_merge_clean, fixed_stride_split, recursive_split, prepare_text]
+FUNCTIONS = [embed_leaves, embed_questions, tree_sections, tree_flatten, tree_merge, small_leaf_candidates, empty_drop, leaf_merge_fold, leaf_merge_clean, fixed_stride_split, recursive_split, prepare_text]
 QUERIES = {f.__name__: f for f in FUNCTIONS} | {"token_len": token_lengths}
 
 _S = r"[\s\x0B\x1C-\x1F\x{0085}\p{Z}]"
 _STRIP = rf"regexp_replace(regexp_replace(leaf_text, '^{_S}+', ''), '{_S}+$', '')"
 _LEAVES = "WITH l AS (SELECT unnest(m) FROM (SELECT arg_max({'chunk_id': chunk_id, 'tree_path': tree_path, 'name': name, 'has_table': has_table, 'leaf_text': leaf_text}, ingested_at) AS m FROM chunk WHERE chunk_id IS NOT NULL GROUP BY chunk_id)) "
+# Every prefix of a leaf's ord is a node; its number is its rank among the children of its parent, level by level.
+_TREES = """WITH RECURSIVE l AS (SELECT unnest(m) FROM (SELECT arg_max({'muni': muni, 'chunk_id': chunk_id, 'o': ord, 'p': tree_path, 'name': name, 'has_table': has_table, 'leaf_text': leaf_text}, ingested_at) AS m
+    FROM chunk WHERE chunk_id IS NOT NULL GROUP BY chunk_id)),
+  k AS (SELECT *, len(o) AS n FROM l WHERE muni IS NOT NULL AND len(p) > 0 AND len(o) = len(p) + 1),
+  raw AS (SELECT muni, o[1:d] AS spot, o[1:d - 1] AS up, o[d] AS own, p[1:d - 1] AS path, CASE WHEN d = n THEN coalesce(name, '') ELSE p[d] END AS name, d = n AS is_leaf,
+      CASE WHEN d = n THEN coalesce(has_table, false) ELSE false END AS has_table, CASE WHEN d = n THEN leaf_text END AS leaf_text, CASE WHEN d = n THEN chunk_id ELSE 0 END AS leaf
+    FROM (SELECT *, unnest(range(1, n + 1)) AS d FROM k)),
+  one AS (SELECT DISTINCT muni, spot, up, own, path, name, is_leaf, has_table, leaf_text, leaf FROM raw),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY muni, up ORDER BY own, name, leaf_text) - 1 AS num FROM one),
+  nodes AS (SELECT muni AS tree_id, spot, ['0'] AS place, path, name, is_leaf, has_table, leaf_text FROM ranked WHERE len(spot) = 1
+    UNION ALL SELECT r.muni, r.spot, list_append(n.place, CAST(r.num AS VARCHAR)), r.path, r.name, r.is_leaf, r.has_table, r.leaf_text FROM nodes n JOIN ranked r ON r.muni = n.tree_id AND r.up = n.spot AND NOT n.is_leaf)
+"""
 ORACLES = {
     "embed_questions": "SELECT id AS question_id, CAST(64 AS INTEGER) AS width FROM question",
-    "tree_sections": _LEAVES
-    + """SELECT chunk_id AS tree_id, CAST(d AS BIGINT) AS depth, array_to_string(tree_path[1:d - 1], '->') AS path, CASE WHEN d = len(tree_path) + 1 THEN name ELSE tree_path[d] END AS name,
-      d = len(tree_path) + 1 AS is_leaf, CASE WHEN d = len(tree_path) + 1 THEN coalesce(has_table, false) ELSE false END AS has_table
-      FROM (SELECT *, unnest(range(1, len(tree_path) + 2)) AS d FROM l WHERE name IS NOT NULL AND len(tree_path) > 0)""",
-    "tree_flatten": _LEAVES + "SELECT chunk_id AS tree_id, name, leaf_text, array_to_string(list_transform(range(0, len(tree_path) + 1), lambda x: '0'), '.') AS ord FROM l WHERE name IS NOT NULL AND len(tree_path) > 0",
+    "tree_sections": _TREES + "SELECT tree_id, array_to_string(place, '.') AS ord, array_to_string(path, '->') AS path, name, is_leaf, has_table FROM nodes",
+    "tree_flatten": _TREES + "SELECT tree_id, array_to_string(place, '.') AS ord, name, md5(leaf_text) AS text_md5 FROM nodes WHERE is_leaf",
     "small_leaf_candidates": _LEAVES + f"SELECT chunk_id, length(leaf_text) AS chars FROM l WHERE length(leaf_text) < 200 AND {_STRIP} <> ''",
     "empty_drop": _LEAVES + f"SELECT chunk_id, name FROM l WHERE {_STRIP} <> ''",
     "token_len": _LEAVES + r"SELECT chunk_id, CAST(coalesce(len(regexp_extract_all(leaf_text, '[^ \n]+')), 0) AS BIGINT) AS tokens FROM l",
