@@ -9,7 +9,7 @@ from strataq.llm.chunking import split_oversized
 from strataq.llm.defects import defective_pairs
 from strataq.llm.mixing import budgets, mix_sources, mixture_report
 from strataq.llm.packing import container_fill, pack_documents
-from strataq.llm.readability import fit_cuts, reading_levels
+from strataq.llm.readability import fitted_levels
 from strataq.llm.tokens import token_sizes
 from strataq.session import table
 
@@ -50,8 +50,7 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    return reading_levels(documents, fit_cuts(documents, table(spark, sf_dir, "reading_label")))
+    return fitted_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_label"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

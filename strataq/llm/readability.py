@@ -15,9 +15,11 @@ from math import sqrt
 from statistics import median
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataq.session import cut
+
 #: Upper grades of bands 1 to 3, school years; band 4 lies beyond. See ``fit_cuts`` for cuts fitted to labels.
 CUTS = (5.5, 9.5, 13.5)
 # Frequent function words.
@@ -56,13 +58,23 @@ LETTER = re.compile(r"[^\W\d_]")
 VOWELS = re.compile(r"[aeiouy]+")
 SILENT = re.compile(r"(?:[^laeiouy]es|[^aeiouytd]ed|[^aeiouyl]e|[aeiouy]le|[^aeiouy]ely|[^aeiouy]e(?:ful|less|ment|ments|ness))$")
 SOUNDED = re.compile(r"(?:[sxz]|ch|sh|[cg])es$")
-HIATUS = re.compile(r"i(?:a(?!n$|l$|ge)|o(?!n|us)|u)|[aeiou]ing$|ia[nl]$|[^tscg]ion|[^aeiou]ious$|eo(?!n$|us)|u(?:al|ous|ate)|[^q]ua(?:ry|l)|creat|io[lr]|sm$|[^aeiouy]l(?:e|es|ed)$")
-LE = re.compile(r"[^aeiouy]l(?:e|es|ed)$")
+HIATUS = re.compile(
+    r"i(?:a(?!n$|l$|ge)|o(?!n|us)|u)|[aeiou]ing$|ia[nl]$|[^tscgnl]ion|^lion|[^aeioucgstx]ious$|eo(?!n$|us|p)|(?<![qg])u(?:al|ous|ation|ate)|[^q]uary|creat|io[lr]|sm$|[^aeiouy]l(?:e|es|ed)$"
+    r"|^re(?=act|en|in|af|ap|ali|ev|or|op)|scie|ciet|piet|priet|quie|die[tn]|[rdnl]ien[ct]|[^aeiou]ea$|[rl]ui[nd]|^theat|seum|poe|uity|[bcgt]re$|[nsf]u(?:ant|ine|en[ct])|herein|(?:r|x)iety"
+)
+LE = re.compile(r"[^aeiouy]l(?:e|es|ed)$|[bcgt]re$")
+# Silent e within a word: before a compound's second part, or an ending that keeps it.
+INNER = re.compile(
+    r"[aeiouy]{1,2}[^aeiouywx]e(?=(?:thing|where|body|one|fore|by|after|in|with|of|upon|from|times?|work|land|house|side|way|walk|wise|line|light|yard|front|back|man|men|keep|owner|place|sale|guard|wide)(?:s|ing|r)?$)"
+    r"|(?:here|there|where)(?=(?:by|after|in|with|of|upon|from|under|fore)$)|busin(?=ess)|efully$"
+)
+# One sound, as in special and partial.
+SOFT = re.compile(r"[tc]ial(?:ly|ity)?$|[st]ian$")
 
 
 @lru_cache(maxsize=200_000)
 def syllables(word: str) -> int:
-    """Vowel groups, less silent endings, plus vowels in hiatus. At least 1."""
+    """Vowel groups, less silent vowels at the end and within, plus vowels in hiatus. At least 1."""
     w = word.lower()
     n = len(VOWELS.findall(w))
     if LE.search(w):
@@ -70,6 +82,10 @@ def syllables(word: str) -> int:
     elif SILENT.search(w) and not SOUNDED.search(w):
         n -= 1
     n += len([1 for m in HIATUS.finditer(w) if not LE.search(m.group())])
+    if INNER.search(w):
+        n -= 1
+    if SOFT.search(w) and HIATUS.search(w) and not w.endswith(("strian", "trial")):
+        n -= 1
     return max(1, n)
 
 
@@ -207,48 +223,83 @@ def graded(run: list[Counts]) -> list[tuple[float, int]]:
     return [(grades(*sums), sums[1]), *((g, c[1]) for g, c in own if abs(g - middle) > FAR)]
 
 
+def grade_runs(text: str | None) -> tuple[list[float], list[int], int]:
+    """The grades of a text's English runs, their words, and its English sentences."""
+    grades_, words, n = [], [], 0
+    for run in english_runs(text):
+        n += len(run)
+        for g, w in graded(run):
+            grades_.append(g)
+            words.append(w)
+    return grades_, words, n
+
+
 def profile(text: str | None, cuts: tuple[float, ...] = CUTS) -> tuple[float | None, int | None, int, int, list[int]]:
     """(grade, band, English words, English sentences, words by band); grade and band are None without an English sentence."""
-    by, words, n_sentences, weighted = [0] * 4, 0, 0, 0.0
-    for run in english_runs(text):
-        n_sentences += len(run)
-        for grade, n in graded(run):
-            by[sum(grade > c for c in cuts)] += n
-            weighted += grade * n
-            words += n
-    if not words:
+    own, words, n = grade_runs(text)
+    by = [0] * 4
+    for g, w in zip(own, words, strict=True):
+        by[sum(g > c for c in cuts)] += w
+    total = sum(words)
+    if not total:
         return None, None, 0, 0, by
-    return weighted / words, max(range(4), key=lambda b: by[b]) + 1, words, n_sentences, by
+    return sum(g * w for g, w in zip(own, words, strict=True)) / total, max(range(4), key=lambda b: by[b]) + 1, total, n, by
 
 
-SCHEMA = "doc_id bigint, grade double, band bigint, english_words bigint, english_sentences bigint, words_by_band array<bigint>"
+GRADED = "doc_id bigint, grades array<double>, words array<bigint>, english_sentences bigint"
 
 
-def reading_levels(documents: DataFrame, cuts: tuple[float, ...] = CUTS) -> DataFrame:
-    """One row per document: its grade and band, null without English prose (null or empty text, figures, other languages).
+def graded_documents(documents: DataFrame) -> DataFrame:
+    """(doc_id, grades, words, english_sentences): the grade of every run of English sentences and its words, empty without any.
 
-    A map over (doc_id, text) alone, in Arrow batches; nothing is shuffled, and whole texts are read. Repeated rows give
+    A map over (doc_id, text) alone, in Arrow batches; nothing is shuffled, and whole texts are read, once. Repeated rows give
     repeated rows. Other columns are not looked at.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, *profile(t, cuts)) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True)]
-            out = pd.DataFrame(rows, columns=["doc_id", "grade", "band", "english_words", "english_sentences", "words_by_band"])
-            yield out.astype({"band": "Int64"})
+            rows = [(i, *grade_runs(t)) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True)]
+            yield pd.DataFrame(rows, columns=["doc_id", "grades", "words", "english_sentences"])
+
+    return documents.select("doc_id", "text").mapInPandas(run, GRADED)
+
+
+def banded(graded: DataFrame, cuts: tuple[float, ...] = CUTS) -> DataFrame:
+    """(doc_id, grade, band, english_words, english_sentences, words_by_band) of graded documents, all in the JVM."""
+    edges = [F.lit(float("-inf")), *[F.lit(float(c)) for c in cuts], F.lit(float("inf"))]
+
+    def within(low: Column, high: Column) -> Column:
+        parts = F.zip_with("grades", "words", lambda g, w: F.when((g > low) & (g <= high), w).otherwise(F.lit(0).cast("bigint")))
+        return F.aggregate(parts, F.lit(0).cast("bigint"), lambda s, w: s + w)
+
+    by = F.array(*[within(a, b) for a, b in zip(edges, edges[1:], strict=False)])
+    weighted = F.aggregate(F.zip_with("grades", "words", lambda g, w: g * w), F.lit(0.0), lambda s, x: s + x)
+    out = graded.select("doc_id", by.alias("words_by_band"), F.aggregate("words", F.lit(0).cast("bigint"), lambda s, w: s + w).alias("english_words"), "english_sentences", weighted.alias("_sum"))
+    has = F.col("english_words") > 0
+    out = out.withColumn("band", F.when(has, F.array_position("words_by_band", F.array_max("words_by_band"))))  # the first of equal ones
+    return out.select("doc_id", F.when(has, F.col("_sum") / F.col("english_words")).alias("grade"), "band", "english_words", "english_sentences", "words_by_band")
+
+
+def reading_levels(documents: DataFrame, cuts: tuple[float, ...] = CUTS) -> DataFrame:
+    """One row per document: its grade and band, null without English prose (null or empty text, figures, other languages)."""
+    return banded(graded_documents(documents), cuts)
+
 
-    return documents.select("doc_id", "text").mapInPandas(run, SCHEMA)
+def fitted_levels(documents: DataFrame, labels: DataFrame, sample: int = 2000) -> DataFrame:
+    """``reading_levels`` with cuts fitted to the labels. Texts are read once: their grades are checkpointed, narrow rows."""
+    graded = cut(graded_documents(documents))
+    return banded(graded, fit_cuts(graded, labels, sample))
 
 
-def fit_cuts(documents: DataFrame, labels: DataFrame, sample: int = 2000) -> tuple[float, ...]:
-    """Cuts between the bands, fitted to the grades of at most ``sample`` labelled documents on which the raters agree.
+def fit_cuts(graded: DataFrame, labels: DataFrame, sample: int = 2000) -> tuple[float, ...]:
+    """Cuts between the bands, fitted to the grades of at most ``sample`` labelled documents of ``graded_documents`` on which the raters agree.
 
     Only this bounded sample reaches the driver; a boundary without labels on both sides keeps its classic value.
     """
     agreed = labels.where("doc_id IS NOT NULL AND band IS NOT NULL").groupBy("doc_id").agg(F.min("band").alias("_band"), F.max("band").alias("_most"))
     agreed = agreed.where("_band = _most").select("doc_id", "_band").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = documents.select("doc_id", "text").join(F.broadcast(agreed), "doc_id")  # at most ``sample`` rows
-    rows = reading_levels(texts).where("grade IS NOT NULL").join(F.broadcast(agreed), "doc_id").select("grade", "_band").collect()
+    rows = banded(graded.join(F.broadcast(agreed), "doc_id", "left_semi")).where("grade IS NOT NULL").join(F.broadcast(agreed), "doc_id")  # at most ``sample`` rows
+    rows = rows.select("grade", "_band").collect()
     cuts = []
     for k, classic in zip((1, 2, 3), CUTS, strict=True):
         low, high = sorted(g for g, b in rows if b == k), sorted(g for g, b in rows if b == k + 1)

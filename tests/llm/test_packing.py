@@ -118,6 +118,46 @@ def test_clashing_columns_and_null_ids(spark):
     assert a == b and a and all(r[1] is not None for r in a)
 
 
+def distances(sizes, sources, capacity):
+    total, own = sum(sizes), Counter()
+    for n, s in zip(sizes, sources, strict=True):
+        own[s] += n
+    share = {s: n / total for s, n in own.items()}
+    windows, far = fill_windows(sizes, sources, capacity, share, {}), []
+    assert sorted(i for w in windows for i in w) == list(range(len(sizes))) and all(sum(sizes[i] for i in w) <= capacity for w in windows)
+    for w in windows[:-1]:
+        got = Counter()
+        for i in w:
+            got[sources[i]] += sizes[i]
+        far.append(sum(abs(got[s] / sum(got.values()) - share[s]) for s in share) / 2)
+    return far, 1 - total / (capacity * len(windows))
+
+
+@pytest.mark.parametrize(("spread", "most", "mean", "tail"), [(0.5, 400, 0.04, 0.06), (0.9, 4000, 0.13, 0.3)])
+def test_windows_keep_the_proportions_to_the_end(spread, most, mean, tail):
+    """Of small items all windows have the target proportions, the last as well; large ones, up to half a window, spoil some."""
+    r = random.Random(3)
+    sizes = [min(most, max(5, int(r.lognormvariate(5.0, spread)))) for _ in range(9000)]
+    sources = [r.choices("abcdef", (30, 25, 20, 15, 7, 3))[0] for _ in sizes]
+    far, unused = distances(sizes, sources, 8192)
+    tenth = far[-len(far) // 10 :]
+    assert sum(far) / len(far) < mean and sum(tenth) / len(tenth) < tail and unused < 0.01
+
+
+def test_windows_of_few_items_are_full():
+    r = random.Random(4)
+    sizes = [min(512, max(5, int(r.lognormvariate(5.2, 0.9)))) for _ in range(4000)]
+    far, unused = distances(sizes, [r.choice("abc") for _ in sizes], 512)
+    assert unused < 0.01
+
+
+def test_distance_is_reported(spark):
+    rows = [("s", 10, "0:0", 0, 1, "a", 0, 0, 5), ("s", 10, "0:0", 1, 2, "b", 0, 0, 5), ("s", 10, "0:1", 0, 3, "a", 0, 0, 10), ("s", 10, "full:4:0", 0, 4, "b", 0, 0, 10)]
+    packed = spark.createDataFrame(rows, "spec_name string, capacity bigint, container_id string, position int, doc_id bigint, source string, piece int, token_start bigint, tokens bigint")
+    r = container_fill(packed).first()
+    assert (r["distance"], r["distance_90"], r["unused"]) == (0.25, 0.5, 0.0)
+
+
 def test_given_shares(spark):
     docs = spark.createDataFrame([(i, "ab"[i % 2], 10) for i in range(400)], SIZES)
     rows = pack_documents(docs, [("x", 100)], shares={"a": 0.8, "b": 0.2}, bucket_tokens=10**9).where("container_id = '0:0'").groupBy("source").sum("tokens").collect()
