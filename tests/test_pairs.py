@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from strataq import providers
+from strataq import providers, session
 from strataq.operators import pairs as P
 from strataq.operators.prefix import prefix_sums
 from strataq.sources import wire
@@ -24,6 +24,19 @@ def test_prefix_sums_against_a_loop(spark, block):
     assert got == {(k, o): sum(w for j, p, w in rows if j == k and p < o) for k, o, _ in rows}
 
 
+def test_latest_row_of_each_key(spark):
+    r = random.Random(7)
+    rows = [(r.choice([None, *range(40)]), r.choice([None, 1, 2, 3]), r.choice(["x", "y", None])) for _ in range(60)]
+    df = spark.createDataFrame(rows, "k int, t int, v string").withColumn("_n", F.lit(1))
+    got = {x["k"]: (x["t"], x["v"]) for x in session.latest(df, ["k"], ["t"]).collect()}
+    least = lambda x: (x is not None, x or 0 if not isinstance(x, str) else x)
+    want = {}
+    for k, t, v in rows:
+        if k is not None and (k not in want or (least(t), (v is not None, v or "")) > (least(want[k][0]), (want[k][1] is not None, want[k][1] or ""))):
+            want[k] = (t, v)
+    assert got == want and session.latest(df.limit(0), ["k"], ["t"]).count() == 0
+
+
 def test_batch_against_a_loop(spark):
     r = random.Random(4)
     for case in range(6):
