@@ -53,9 +53,3 @@ def join_keywords(text: Column, keywords: list[str]) -> Column:
 def zscore(x: Column, mean: Column, sd: Column) -> Column:
     """0 where the deviation is 0 or unknown."""
     return F.coalesce(F.try_divide(x - mean, F.nullif(sd, F.lit(0.0))), F.lit(0.0))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Of two arrays of one length; -1 where a vector is missing, empty or zero."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.coalesce(F.try_divide(dot(a, b), F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))), F.lit(-1.0))

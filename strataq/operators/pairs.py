@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,10 +11,10 @@ from pyspark.sql import functions as F
 from strataq.functions.text import id_key
 from strataq.operators.prefix import prefix_sums
 
-#: Folders of the three first sources.
-FOLDERS = {"ordinet": "ordinet", "legalpress": "legalpress", "codelibrary": "codelibrary"}
-#: A list of this many rows at most may be exploded from a literal.
-SMALL = 10_000
+#: The sources that have a folder, of their own name.
+FOLDERS = ["ordinet", "legalpress", "codelibrary"]
+#: So many ids go into one literal.
+BLOCK = 10_000
 
 
 def muni_key(unit: Column, census: Column, state: Column) -> Column:
@@ -21,10 +23,20 @@ def muni_key(unit: Column, census: Column, state: Column) -> Column:
 
 def text_path(root: str, source: Column, state: Column, key: Column) -> Column:
     """root/source/state/key.json; null for a source without a folder."""
-    folder = F.lit(None).cast("string")
-    for k, v in FOLDERS.items():
-        folder = F.when(F.lower(F.trim(source)) == k, v).otherwise(folder)
-    return F.concat(F.lit(f"{root}/"), folder, F.lit("/"), state, F.lit("/"), key, F.lit(".json"))
+    folder = F.lower(F.trim(source))
+    return F.when(folder.isin(FOLDERS), F.concat(F.lit(f"{root}/"), folder, F.lit("/"), state, F.lit("/"), key, F.lit(".json")))
+
+
+def resolved_paths(munis: DataFrame, root: str) -> DataFrame:
+    """(muni, path, error): a source without a folder makes an error row, and so does a missing one."""
+    path = text_path(root, F.col("source"), F.col("state"), F.col("muni"))
+    return munis.select("muni", path.alias("path"), F.when(path.isNull(), F.concat(F.lit("no folder for source "), F.coalesce("source", F.lit("null")))).alias("error"))
+
+
+def with_tree(pairs: DataFrame, trees: DataFrame) -> DataFrame:
+    """Pairs with the tree of their municipality (muni, tree_json); a missing tree makes an error row."""
+    out = pairs.join(trees.select("muni", "tree_json"), "muni", "left")
+    return out.withColumn("error", F.when(F.col("tree_json").isNull(), F.lit("no tree")))
 
 
 def municipalities(sample: DataFrame) -> DataFrame:
@@ -34,11 +46,26 @@ def municipalities(sample: DataFrame) -> DataFrame:
 
 
 def all_pairs(munis: DataFrame, questions: DataFrame) -> DataFrame:
-    """Every municipality with every question. The questions are a stated set: their ids become a literal that each row explodes."""
-    ids = [r[0] for r in questions.where("question_id IS NOT NULL").select("question_id").distinct().orderBy("question_id").limit(SMALL + 1).collect()]
-    if len(ids) > SMALL:
-        raise ValueError(f"more than {SMALL} questions: run them in blocks")
-    return munis.select("muni", F.explode(F.array(*[F.lit(i) for i in ids]).cast("array<string>")).alias("question_id"))
+    """Every municipality with every question. The questions are a stated set: their ids become literals that each row explodes."""
+    # In blocks of BLOCK ids, however many there are.
+    ids = [r[0] for r in questions.where("question_id IS NOT NULL").select("question_id").distinct().orderBy("question_id").toLocalIterator()]
+    blocks = [ids[i : i + BLOCK] for i in range(0, max(1, len(ids)), BLOCK)]
+    parts = [munis.select("muni", F.explode(F.array(*[F.lit(i) for i in part]).cast("array<string>")).alias("question_id")) for part in blocks]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def reversed_queue(queue: DataFrame, place: str) -> DataFrame:
+    """The queue from its last pair to its first."""
+    return queue.orderBy(F.col(place).desc())
+
+
+def select_municipalities(sample: DataFrame, embedded: DataFrame, size: int | None = None, nodes: int = 1, seed: str = "42") -> DataFrame:
+    """(muni, node): the municipalities of the sample that are embedded, ``size`` of them by hash if given, in contiguous slices per node.
+
+    Every node draws the same sample before it takes its slice.
+    """
+    found = municipalities(sample).join(embedded.select("muni"), "muni", "left_semi").select("muni")
+    return node_split(found if size is None else hash_sample(found, "muni", size, seed), nodes)
 
 
 def hash_sample(rows: DataFrame, key: str, n: int, seed: str = "42") -> DataFrame:
@@ -74,5 +101,17 @@ def pack_batch(queue: DataFrame, order: str, tokens: str, max_tokens: int, max_r
     return run.withColumn("sent", sent).withColumn("running", F.col("_bt") + F.col("_t")).drop("_t", "_one", "_bt", "before")
 
 
+def captured(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Results, and (record_id, error) of the rows that failed: an error text, a status of 400 or more, or no response; each record once."""
+    status = F.when(F.col("status_code") >= 400, F.concat(F.lit("status "), F.col("status_code").cast("string")))
+    reason = F.coalesce(F.col("error"), status, F.when(F.col("response").isNull(), F.lit("no response")))
+    failed = responses.where(reason.isNotNull()).groupBy("record_id").agg(F.min(reason).alias("error"))
+    return responses.where(reason.isNull()), failed
+
+
+def from_epoch(seconds: Column) -> Column:
+    return F.timestamp_seconds(seconds)
+
+
 def expired(rows: DataFrame, at: str, now: str, days: int = 7) -> DataFrame:
     return rows.where(F.col(at) < F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))

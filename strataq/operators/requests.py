@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataq.functions.text import csv_ids, strip
+from strataq.functions.text import after_marker, csv_ids, strip
 
 FUNCTIONS = {"Binary": "answer_question_yes_no", "Numerical": "answer_question_numerical", "Lot Size": "answer_question_lot_size_residential"}
 
@@ -59,5 +61,59 @@ def keywords(wide: DataFrame, columns: list[str]) -> DataFrame:
     return long.where(F.col("keyword").isNotNull() & (strip(F.col("keyword")) != ""))
 
 
-def user_text(messages: Column) -> Column:
-    return F.try_element_at(F.filter(messages, lambda m: m["role"] == "user"), F.lit(-1))["content"]
+def tool(kind: Column) -> Column:
+    """The tool that a parse must call, as JSON, by question type; null for any other type."""
+    out = F.lit(None).cast("string")
+    for k, answer in ANSWERS.items():
+        out = F.when(kind == k, F.lit(json.dumps(tool_template(FUNCTIONS[k], answer)))).otherwise(out)
+    return out
+
+
+def tool_template(name: str, answer: dict) -> dict:
+    fields = {"Dont_Know": {"type": "boolean", "description": "Whether the answer is unknown"}, "Answer": answer}
+    return {"type": "function", "function": {"name": name, "parameters": {"type": "object", "properties": fields, "required": ["Dont_Know"]}}}
+
+
+#: The answer that each kind of question takes.
+ANSWERS = {
+    "Binary": {"type": "string", "enum": ["Yes", "No"]},
+    "Numerical": {"type": "integer"},
+    "Lot Size": {"type": "array", "items": {"type": "object", "properties": {"district_name": {"type": "string"}, "min_lot_size": {"type": "integer"}, "unit": {"type": "string"}, "estate": {"type": "boolean"}}}},
+}
+
+
+def question_requests(pairs: DataFrame, system: Column, model: str = "offline", double_check: bool = False) -> DataFrame:
+    """Append custom_id, prompt, request and error to pairs (muni, question_id, question_rephrase, double_check_question, background, context[, subtask, subtask_answer]).
+
+    The question is asked in its rephrased form, or by its double-check question; a blank one, or a null context, is an error. The
+    answer of a subtask comes last, under the subtask's description.
+    """
+    asked = F.col("double_check_question" if double_check else "question_rephrase")
+    asked = F.when(strip(asked) != "", asked)
+    prompt = format_prompt(Question=asked, Background=F.col("background"), Context=F.col("context"))
+    if "subtask" in pairs.columns:
+        prompt = F.concat_ws("\n\n", prompt, F.when(F.col("subtask_answer").isNotNull(), F.concat(F.lit("#"), F.col("subtask"), F.lit(":\n"), F.col("subtask_answer"))))
+    error = F.when(asked.isNull(), F.lit("no question")).when(F.col("context").isNull(), F.lit("no context"))
+    out = pairs.withColumn("custom_id", custom_id(F.col("muni"), "main", F.col("question_id"))).withColumn("error", error).withColumn("prompt", F.when(error.isNull(), prompt))
+    return out.withColumn("request", F.when(F.col("error").isNull(), request(F.col("custom_id"), model, system, F.col("prompt"))))
+
+
+def subtask_requests(pairs: DataFrame, system: Column, model: str = "offline") -> DataFrame:
+    """Append custom_id, prompt and request of the subtask to pairs (muni, question_id, instructions, context); pairs without instructions get none."""
+    prompt = format_prompt(**{"System Info": system, "Question": F.col("instructions"), "Context": F.col("context")})
+    out = pairs.withColumn("custom_id", custom_id(F.col("muni"), "subtask", F.col("question_id"))).withColumn("prompt", F.when(F.col("instructions").isNotNull(), prompt))
+    return out.withColumn("request", F.when(F.col("prompt").isNotNull(), request(F.col("custom_id"), model, system, F.col("prompt"))))
+
+
+def parse_requests(answers: DataFrame, system: Column, model: str = "offline") -> DataFrame:
+    """Append custom_id, prompt and request to free answers (muni, question_id, question_type, location, content).
+
+    What stands behind the marker is to be parsed, the whole answer if there is none; the question's type decides on the tool. A type
+    without a tool is an error row.
+    """
+    prompt = F.coalesce(after_marker(F.col("content")), F.col("content"))
+    choice = F.to_json(F.struct(F.lit("function").alias("type"), F.struct(function_name(F.col("question_type")).alias("name")).alias("function")))
+    out = answers.withColumn("custom_id", custom_id(F.col("muni"), "parse", F.col("question_id"), F.col("location"))).withColumn("prompt", prompt)
+    out = out.withColumn("error", F.when(function_name(F.col("question_type")).isNull(), F.lit("unsupported question type")))
+    made = request(F.col("custom_id"), model, system, F.col("prompt"), tools=tool(F.col("question_type")), tool_choice=choice)
+    return out.withColumn("request", F.when(F.col("error").isNull(), made))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,12 @@ def write_requests(requests: DataFrame, path: str, column: str = "request") -> N
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Result lines, parsed; a broken line keeps its text and nulls."""
-    lines = spark.read.text(path)
-    return lines.select(F.col("value").alias("line"), F.from_json("value", RESULT).alias("_r")).select("line", "_r.*")
+    return parse_results(spark.read.text(path).select(F.col("value").alias("line")))
+
+
+def parse_results(lines: DataFrame, line: str = "line") -> DataFrame:
+    """The fields of each result line behind its other columns; a broken line gets nulls."""
+    return lines.withColumn("_r", F.from_json(F.col(line), RESULT)).select(*lines.columns, "_r.*")
 
 
 def fetch_results(spark: SparkSession, status: str, path: str) -> DataFrame:
@@ -61,3 +66,35 @@ def append(rows: DataFrame, path: str, by: str | None = None) -> None:
 def catalogue(spark: SparkSession, path: str, by: str = "muni") -> DataFrame:
     """What an appended table already holds."""
     return spark.read.parquet(path).select(by).distinct()
+
+
+STATUS = "run string, batch_id string, needs_work boolean, written_at timestamp"
+
+
+def write_status(spark: SparkSession, path: str, run: str, batch_id: str | None, needs_work: bool) -> None:
+    """What a run leaves for the next one: the batch it waits for, and whether there is work left. Appended; the latest row counts."""
+    row = spark.createDataFrame([(run, batch_id, needs_work)], "run string, batch_id string, needs_work boolean")
+    row.withColumn("written_at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def read_status(spark: SparkSession, path: str, run: str) -> tuple[str | None, bool]:
+    """(batch id, whether there is work) of a run; (None, True) for one that has left nothing."""
+    try:
+        rows = spark.read.schema(STATUS).parquet(path)
+    except AnalysisException:  # no run has written yet
+        return None, True
+    last = rows.where(F.col("run") == run).orderBy(F.desc("written_at")).limit(1).collect()
+    return (last[0]["batch_id"], last[0]["needs_work"]) if last else (None, True)
+
+
+class FolderSubmitter:
+    """Submits a batch as JSON lines in a folder of its own; its id is a hash of its requests, so the same batch has the same id."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+
+    def submit(self, requests: DataFrame, column: str = "request") -> str:
+        parts = requests.agg(F.count("*"), F.sum(F.xxhash64(column).cast("decimal(38,0)"))).first()
+        batch_id = f"batch_{parts[0]}_{int(parts[1] or 0) & (1 << 64) - 1:016x}"
+        write_requests(requests, f"{self.folder}/{batch_id}", column)
+        return batch_id

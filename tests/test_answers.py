@@ -1,3 +1,4 @@
+import json
 import random
 from statistics import median
 
@@ -90,3 +91,29 @@ def test_prompts_requests_and_lookups(spark):
     row = spark.createDataFrame([("  a\tb \n", "1_000", "Fees (building permit), parking")], "a string, b string, c string").select(strip(F.col("a")), strict_float(F.col("b")), join_keywords(F.col("c"), ["building permit"])).first()
     assert tuple(row) == ("a\tb", None, "fees  building_permit   parking")
     assert one.select(A.clean_subtask(F.lit("### A\n## B"))).first()[0] == "A\n B"
+
+
+def test_requests_of_questions_subtasks_and_answers(spark):
+    cols = "muni string, question_id string, question_rephrase string, double_check_question string, background string, context string, subtask string, subtask_answer string"
+    rows = [("m", "1", "May I?", "Surely?", "Houses.", "##a", "uses", "barns"), ("m", "2", " ", None, None, "##a", None, None), ("m", "3", "How?", " ", None, None, None, None), ("m", "4", "How?", "So?", None, "", "uses", None)]
+    pairs = spark.createDataFrame(rows, cols)
+    main = {r["question_id"]: r for r in Q.question_requests(pairs, F.lit("sys")).collect()}
+    assert main["1"]["prompt"] == "#Question:\nMay I?\n\n#Background:\nHouses.\n\n#Context:\n##a\n\n#uses:\nbarns" and main["1"]["custom_id"] == "m_main_1"
+    assert [m["content"] for m in json.loads(main["1"]["request"])["body"]["messages"]] == ["sys", main["1"]["prompt"]]
+    assert main["2"]["error"] == "no question" and main["3"]["error"] == "no context" and main["2"]["request"] is None and main["4"]["prompt"] == "#Question:\nHow?\n\n#Context:\n"
+    again = {r["question_id"]: (r["error"], r["prompt"]) for r in Q.question_requests(pairs, F.lit("sys"), double_check=True).collect()}
+    assert again["1"][1].startswith("#Question:\nSurely?") and again["2"][0] == again["3"][0] == "no question"
+    sub = {r["question_id"]: r for r in Q.subtask_requests(pairs.withColumn("instructions", F.when(F.col("question_id") == "1", "find")), F.lit("sys")).collect()}
+    assert sub["1"]["prompt"] == "#System Info:\nsys\n\n#Question:\nfind\n\n#Context:\n##a" and sub["1"]["custom_id"] == "m_subtask_1" and sub["2"]["request"] is None
+    free = [("m", "1", "Binary", 0, "well. ANSWER: YES ANSWER: x"), ("m", "2", "Numerical", 3, "no marker"), ("m", "3", "Lot Size", 1, None), ("m", "4", "Odd", 0, "z"), ("m", "5", None, 0, "z")]
+    out = {r["question_id"]: r for r in Q.parse_requests(spark.createDataFrame(free, "muni string, question_id string, question_type string, location int, content string"), F.lit("sys")).collect()}
+    body = json.loads(out["1"]["request"])["body"]
+    assert out["1"]["prompt"] == "YES" and out["2"]["prompt"] == "no marker" and out["2"]["custom_id"] == "m_parse_2_3" and out["3"]["prompt"] is None
+    assert json.loads(body["tools"])["function"]["name"] == json.loads(body["tool_choice"])["function"]["name"] == "answer_question_yes_no"
+    assert out["4"]["error"] == out["5"]["error"] == "unsupported question type" and out["4"]["request"] is None
+
+
+def test_keywords_of_a_sheet(spark):
+    sheet = spark.createDataFrame([(1, "barn", None), (2, " ", "fence"), (3, "shed", "yard")], "priority int, `4a` string, `7` string")
+    got = {(r["question_id"], r["priority"], r["keyword"]) for r in Q.keywords(sheet, ["4a", "7"]).collect()}
+    assert got == {("4a", 1, "barn"), ("4a", 3, "shed"), ("7", 2, "fence"), ("7", 3, "yard")}

@@ -8,19 +8,21 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataq import providers, session
+from strataq.config import EngineConfig
 from strataq.operators import pairs as P
 from strataq.operators.prefix import prefix_sums
+from strataq.operators.tree import tree_sections
 from strataq.sources import wire
 from strataq.streaming import resume
 
 ROOT = Path(__file__).resolve().parent.parent
 
 
-@pytest.mark.parametrize("block", [3, 1024])
-def test_prefix_sums_against_a_loop(spark, block):
+@pytest.mark.parametrize(("block", "groups", "most"), [(3, 4, 200), (1024, 1 << 20, 200), (1024, 1 << 20, 1 << 62)])
+def test_prefix_sums_against_a_loop(spark, block, groups, most):
     r = random.Random(1)
-    rows = [("a" if r.random() < 0.7 else "b", i, r.randrange(10)) for i in r.sample(range(200), 80)]
-    got = {(x["k"], x["o"]): x["before"] for x in prefix_sums(spark.createDataFrame(rows, "k string, o bigint, v bigint"), ["k"], "o", "v", block).collect()}
+    rows = [("a" if r.random() < 0.7 else "b", i, r.randrange(10)) for i in r.sample(range(most), 80)]
+    got = {(x["k"], x["o"]): x["before"] for x in prefix_sums(spark.createDataFrame(rows, "k string, o bigint, v bigint"), ["k"], "o", "v", block, groups).collect()}
     assert got == {(k, o): sum(w for j, p, w in rows if j == k and p < o) for k, o, _ in rows}
 
 
@@ -69,6 +71,71 @@ def test_sampling_splitting_and_pairs(spark):
     assert [(r["muni"], r["source"]) for r in m] == [("A#1#lundane", "ordinet")]
 
 
+def test_selection_reversal_blocks_and_errors(spark, monkeypatch):
+    sample = spark.createDataFrame([("s", f"u{i:02}", "1", r) for i in range(30) for r in ("Ordinet ", None)] + [("s", "odd", "2", "elsewhere"), ("s", "none", "3", None)], "state string, unit_name string, census_id string, source string")
+    embedded = spark.createDataFrame([(f"u{i:02}#1#s",) for i in range(0, 30, 2)] * 2 + [(None,)], "muni string")
+    got = P.select_municipalities(sample, embedded, 7, 3).collect()
+    assert len(got) == 7 and sorted(r["node"] for r in got) == [1, 1, 1, 2, 2, 3, 3] and all(int(r["muni"][1:3]) % 2 == 0 for r in got)
+    assert P.select_municipalities(sample, embedded).count() == 15
+    assert [r[0] for r in P.reversed_queue(spark.range(5), "id").collect()] == [4, 3, 2, 1, 0]
+    errors = {r["muni"]: r["error"] for r in P.resolved_paths(P.municipalities(sample), "t").collect()}
+    assert errors["u00#1#s"] is None and errors["odd#2#s"] == "no folder for source elsewhere" and errors["none#3#s"] == "no folder for source null"
+    trees = spark.createDataFrame([("u00#1#s", "{}")], "muni string, tree_json string")
+    assert {r["muni"]: r["error"] for r in P.with_tree(P.municipalities(sample), trees).collect()}["u01#1#s"] == "no tree"
+    monkeypatch.setattr(P, "BLOCK", 3)
+    q = spark.createDataFrame([(str(i),) for i in range(8)], "question_id string")
+    assert P.all_pairs(embedded.where("muni IS NOT NULL").distinct(), q).distinct().count() == 15 * 8
+    rows = [(1, None, 200, "r"), (2, "boom", None, None), (2, "boom", None, None), (3, None, 500, "r"), (4, None, None, None)]
+    good, bad = P.captured(spark.createDataFrame(rows, "record_id bigint, error string, status_code int, response string"))
+    assert [r["record_id"] for r in good.collect()] == [1] and {tuple(r) for r in bad.collect()} == {(2, "boom"), (3, "status 500"), (4, "no response")}
+    day = spark.range(1).select(P.from_epoch(F.lit(86400)).cast("string").alias("t")).first()
+    assert day["t"].startswith("1970-01-02")
+
+
+def test_runs_leave_a_status_and_batches_an_id(spark, tmp_path):
+    path = str(tmp_path / "status")
+    assert wire.read_status(spark, path, "a") == (None, True)
+    reqs = spark.createDataFrame([(f'{{"custom_id":"{i}"}}',) for i in range(5)], "request string")
+    submitter = wire.FolderSubmitter(str(tmp_path / "batches"))
+    one = submitter.submit(reqs)
+    assert one == submitter.submit(reqs.repartition(3)) != submitter.submit(reqs.limit(2)) and spark.read.text(str(tmp_path / "batches" / one)).count() == 5
+    wire.write_status(spark, path, "a", one, True)
+    wire.write_status(spark, path, "b", None, True)
+    wire.write_status(spark, path, "a", one, False)
+    assert wire.read_status(spark, path, "a") == (one, False) and wire.read_status(spark, path, "b") == (None, True) and wire.read_status(spark, path, "c") == (None, True)
+    (tmp_path / "sheet.csv").write_text('id,text\n1,"a\nb"\n2,\n')
+    assert [tuple(r) for r in wire.read_sheet(spark, str(tmp_path / "sheet.csv"), "id string, text string").collect()] == [("1", "a\nb"), ("2", None)]
+
+
+def test_settings_reach_the_operators(spark):
+    spark.conf.set("strataq.nodes", "2")
+    spark.conf.set("strataq.sample_size", "all")
+    spark.conf.set("strataq.max_batch_tokens", "20")
+    try:
+        c = EngineConfig.of(spark)
+        assert (c.nodes, c.sample_size, c.max_batch_tokens, c.top_k) == (2, None, 20, 50)
+        queue = spark.createDataFrame([(i, 4) for i in range(5)], "i bigint, t bigint")
+        assert [r["sent"] for r in c.pack(queue, "i", "t").orderBy("i").collect()] == [True, True, False, False, False]
+        leaves = spark.createDataFrame([(1, "a b c d e f g")], "chunk_id bigint, leaf_text string")
+        assert EngineConfig(chunk_tokens=3, chunk_overlap=1).split(leaves).count() > 2 and c.split(leaves).count() == 1
+        tree = spark.createDataFrame([("t", '{"a":{"Leaf_Text":"x"},"b":{"Leaf_Text":"yy"}}')], "tree_id string, tree_json string")
+        assert c.merge(tree_sections(tree)).count() == 1 and EngineConfig(merge_below_chars=1).merge(tree_sections(tree)).count() == 2
+        assert c.expired(spark.sql("SELECT timestamp'2024-01-01 00:00:00' t"), "t", "2024-01-08 00:00:01").count() == 1
+    finally:
+        for k in ("nodes", "sample_size", "max_batch_tokens"):
+            spark.conf.unset(f"strataq.{k}")
+
+
+def test_a_tokenizer_may_be_replaced(spark):
+    class Letters:
+        def count(self, texts):
+            return [len(t) for t in texts]
+
+    rows = spark.createDataFrame([("a bc",), (None,)], "t string")
+    assert [r[0] for r in rows.select(providers.count_tokens(F.col("t"))).collect()] == [2, 0]
+    assert [r[0] for r in rows.select(providers.count_tokens(F.col("t"), Letters())).collect()] == [4, 0]
+
+
 def test_attach_takes_the_first_and_keeps_the_unanswered(spark):
     req = spark.createDataFrame([("b", "x", 1), ("b", "x", 1), ("b", "y", 2)], "batch_id string, custom_id string, sent_at bigint")
     res = spark.createDataFrame([("b", "x", 9, 5, "r"), ("b", "x", 8, 4, "r"), ("b", "x", 7, 3, None), ("b", "z", 6, 1, "r")], "batch_id string, custom_id string, record_id bigint, received_at bigint, response string")
