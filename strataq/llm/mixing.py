@@ -16,6 +16,8 @@ from strataq.operators.prefix import prefix_sums
 
 #: Keys are whole numbers below KEYS; a range of keys is key * ranges / KEYS.
 KEYS = 1 << 52
+#: Up to so many targets the budgets are broadcast, some 50 bytes each.
+MANY_SOURCES = 100_000
 
 
 def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
@@ -46,12 +48,14 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, total_tokens: int | None =
     of its budget. Documents without tokens or with a null id and sources without a target give no rows; rows of
     one doc_id each count, so ``sizes`` should hold it once. Other columns are not looked at. Ranges of keys hold about
     ``range_documents`` documents whatever their source, as the keys are uniform; ties of the key are broken by doc_id. The
-    budgets are broadcast: they have one row per target source.
+    budgets, one row per target source, are broadcast up to MANY_SOURCES targets; beyond that Spark decides.
     """
     sizes = sizes.where("doc_id IS NOT NULL").select("doc_id", "source", "tokens")
     n = sizes.count()
     ranges = max(1, -(-n // range_documents))
-    plan = F.broadcast(budgets(sizes, targets, total_tokens).where("budget > 0").select("source", "available", "budget", "max_repeats"))
+    plan = budgets(sizes, targets, total_tokens).where("budget > 0").select("source", "available", "budget", "max_repeats")
+    if targets.limit(MANY_SOURCES + 1).count() <= MANY_SOURCES:
+        plan = F.broadcast(plan)
     rows = sizes.where("tokens > 0").join(plan, "source")
     rows = rows.withColumn("key", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(KEYS)))
     rows = rows.withColumn("range", F.floor(F.col("key") / F.lit(KEYS / ranges)).cast("long"))
