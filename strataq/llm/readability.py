@@ -84,6 +84,8 @@ def syllables(word: str) -> int:
     n += len([1 for m in HIATUS.finditer(w) if not LE.search(m.group())])
     if INNER.search(w):
         n -= 1
+    if w.endswith(("gue", "que", "gues", "ques")):
+        n -= 1
     if SOFT.search(w) and HIATUS.search(w) and not w.endswith(("strian", "trial")):
         n -= 1
     return max(1, n)

@@ -15,10 +15,20 @@ def test_syllables(word, n):
     assert syllables(word) == n, word
 
 
-# Counts as in dictionaries; words of the trade and everyday ones, none of which the rules were written for.
+# Counts as in dictionaries; words of the trade and everyday ones. Some of the rules were written after nine of these were missed.
 COUNTED = "animal 3 computer 3 develop 3 condition 3 neighbor 2 neighborhood 3 parcel 2 frontage 2 setback 2 height 1 maximum 3 minimum 3 property 3 vehicle 3 driveways 2 garage 2 fireplace 2 sewer 2 water 2 avenue 3 boulevard 3 hearing 2 appeal 2 council 2 committee 3 commissioner 4 applicant 3 application 4 administrator 5 environmental 5 architecture 4 agricultural 5 historic 3 preservation 4 landscape 2 landscaping 3 perimeter 4 elevation 4 foundation 3 drainage 2 erosion 3 stormwater 3 wetland 2 subdivision 4 nonconforming 4 conditional 4 temporary 4 permanent 3 notwithstanding 4 irrespective 4 pursuant 3 hereinafter 4 thereof 2 whichever 3 herein 2 boundary 3 corner 2 vacant 2 occupied 3 occupancy 4 tenant 2 owner 2 leased 1 fenced 1 painted 2 planted 2 stored 1 parked 1 garbage 2 chickens 2 peaceful 2 carefully 3 wholesale 2 lifeguard 2 bookkeeper 3 librarian 4 radio 3 studio 3 patio 3 ratio 3 violation 4 medium 3 stadium 3 premium 3 curious 3 obvious 3 ordinance 3 adequate 3 graduate 3 manual 3 usual 3 gradual 3 genuine 3 influence 3 affluent 3 reactor 3 reopen 3 giant 2 bias 2 violet 3 society 4 variety 4 anxiety 4 proprietor 4 nowhere 2 anything 3 statewide 2".split()
 
 
+# Hard words, of which only those in -gue and -que had a rule written for them afterwards.
+HARD_WORDS = "kitchen 2 bedroom 2 ceiling 2 window 2 sunlight 2 orchard 2 livestock 2 chimney 2 balcony 3 storage 2 emergency 4 electrical 4 engineer 3 inspector 3 certificate 4 deadline 2 calendar 3 majority 4 testimony 4 decision 3 revision 3 extension 3 provision 3 permission 3 submission 3 designation 4 inhabitant 4 interior 4 exterior 4 superior 4 junior 2 deteriorate 5 appreciate 4 associate 4 negotiate 4 immediate 4 intermediate 5 recreation 4 recreational 5 theatre 3 realtor 3 ideal 3 cereal 3 linear 3 nuclear 3 vehicular 4 archaeology 5 geography 4 geology 4 biology 4 diameter 4 diagram 3 dialogue 3 violence 3 pioneer 3 quotient 2 queue 1 antique 2 unique 2 vague 1 league 1 plaque 1 tongue 1 cottage 2 village 2 mileage 2 acreage 3 sewage 2 drainage 2 lease 1 leases 2 lessees 2 employees 3 guarantee 3 pedestal 3 fertile 2 hostile 2 textile 2 sterile 2 missile 2 agile 2 whole 1 homes 1 sizes 2 places 2 pages 2 bridges 2 hedges 2 trees 1 goes 1 does 1 shoes 1 canoes 2 dyed 1 sued 1 queued 1 argued 2 valued 2 continued 3".split()
+
+
+def test_syllables_of_hard_words():
+    pairs = list(zip(HARD_WORDS[::2], map(int, HARD_WORDS[1::2]), strict=True))
+    wrong = {w: (syllables(w), n) for w, n in pairs if syllables(w) != n}
+    assert len(wrong) <= 0.12 * len(pairs) and all(abs(a - b) == 1 for a, b in wrong.values()), wrong
+
+
 def test_syllables_of_counted_words():
     pairs = list(zip(COUNTED[::2], map(int, COUNTED[1::2]), strict=True))
     wrong = {w: (syllables(w), n) for w, n in pairs if syllables(w) != n}
