@@ -263,6 +263,7 @@ def best_chunks(chunks: DataFrame, questions: DataFrame, keywords: dict[str, lis
         out = chunks.sparkSession.createDataFrame([], PARTS)
     # Statistics are rows without a chunk. One exchange brings both kinds of a pair together; there are few of either per task.
     pair = W.partitionBy(*PAIR)
+    out = out.withColumns({c: F.when(F.col("n").isNotNull(), F.col(c)) for c in ("mean", "m2")})
     out = out.withColumn("chunks", F.sum("n").over(pair)).withColumn("_mean", F.sum(F.col("n") * F.col("mean")).over(pair) / F.col("chunks"))
     out = out.withColumn("sd", F.sqrt(F.sum(F.col("m2") + F.col("n") * (F.col("mean") - F.col("_mean")) * (F.col("mean") - F.col("_mean"))).over(pair) / F.col("chunks")))
     place = F.row_number().over(pair.orderBy(F.col("chunk_id").isNull(), F.col("priority").asc_nulls_last(), F.col("cosine").desc(), F.col("chunk_id")))
@@ -274,32 +275,47 @@ def best_chunks(chunks: DataFrame, questions: DataFrame, keywords: dict[str, lis
 
 def _emitted(held: dict[str, Held], scorer: Scorer) -> Iterator[pd.DataFrame]:
     """A row per candidate, and one per question with the statistics of all rows."""
-    columns = ["question_id", "muni", "chunk_id", "tokens", "cosine", "priority", "n", "mean", "m2"]
     names = np.array(scorer.ids, dtype=object)
-    frames, rows = [], 0
+    keyed = np.array([w == KEYWORD for w in scorer.ways])
+    every = np.arange(len(names))
+    found: list[tuple[np.ndarray, ...]] = []
+    stats: list[tuple[np.ndarray, ...]] = []
+    rows = 0
     for muni, h in held.items():
         chosen = h.chosen()
         ids, tokens_, cosine, priority = h.rows[0]
-        q = np.repeat(np.arange(len(chosen)), [len(c) for c in chosen])
+        q = np.repeat(every, [len(c) for c in chosen])
         at = np.concatenate(chosen)
-        by_keyword = np.array([w == KEYWORD for w in scorer.ways])[q]
-        shown = np.where(by_keyword & (priority[at, q] < NONE), priority[at, q], -1)
-        frames.append(pd.DataFrame({"question_id": names[q], "muni": muni, "chunk_id": ids[at], "tokens": tokens_[at], "cosine": cosine[at, q], "priority": shown}))
-        frames.append(pd.DataFrame({"question_id": names, "muni": muni, "n": h.n, "mean": h.mean, "m2": h.m2}))
+        place = priority[at, q]
+        found.append((q, np.full(len(q), muni, dtype=object), ids[at], tokens_[at], cosine[at, q], np.where(keyed[q] & (place < NONE), place, -1)))
+        stats.append((every, np.full(len(names), muni, dtype=object), np.full(len(names), h.n), h.mean, h.m2))
         rows += len(at)
         if rows > 50_000:
-            yield _typed(frames, columns)
-            frames, rows = [], 0
-    if frames:
-        yield _typed(frames, columns)
-
-
-def _typed(frames: list[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
-    out = pd.concat(frames, ignore_index=True).reindex(columns=columns)
-    for c, kind in (("chunk_id", "Int64"), ("tokens", "Int64"), ("priority", "Int32"), ("n", "Int64")):
-        out[c] = out[c].astype(kind)
-    out["priority"] = out["priority"].where(out["priority"] >= 0)
-    return out
+            yield _framed(names, found, stats)
+            found, stats, rows = [], [], 0
+    if found:
+        yield _framed(names, found, stats)
+
+
+def _framed(names: np.ndarray, found: list[tuple[np.ndarray, ...]], stats: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+    """One frame of both kinds of rows; what a kind doesn't have is null."""
+    q, muni, ids, tokens_, cosine, priority = (np.concatenate([x[i] for x in found]) for i in range(6))
+    q2, muni2, n, mean, m2 = (np.concatenate([x[i] for x in stats]) for i in range(5))
+    first, last = len(q), len(q2)
+
+    def whole(values: np.ndarray, before: int, after: int, kind: str) -> pd.arrays.IntegerArray:
+        data = np.concatenate([np.zeros(before), values, np.zeros(after)]).astype(np.int64)
+        missing = np.concatenate([np.ones(before, bool), np.zeros(len(values), bool), np.ones(after, bool)])
+        return pd.arrays.IntegerArray(data.astype(kind), missing)
+
+    place = pd.arrays.IntegerArray(np.concatenate([priority, np.full(last, -1)]).astype(np.int32), np.concatenate([priority < 0, np.ones(last, bool)]))
+    gap = np.full(first, np.nan)
+    return pd.DataFrame(
+        {
+            "question_id": names[np.concatenate([q, q2])], "muni": np.concatenate([muni, muni2]), "chunk_id": pd.arrays.IntegerArray(np.concatenate([ids, np.zeros(last, np.int64)]).astype(np.int64), np.concatenate([np.zeros(first, bool), np.ones(last, bool)])),
+            "tokens": whole(tokens_, 0, last, "int64"), "cosine": np.concatenate([cosine, np.full(last, np.nan)]), "priority": place, "n": whole(n, first, 0, "int64"), "mean": np.concatenate([gap, mean]), "m2": np.concatenate([gap, m2]),
+        }
+    )
 
 
 def ranked(scored: DataFrame, k: int, by_keyword: bool = False) -> DataFrame:
